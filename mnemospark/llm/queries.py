@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import encode_decode
 
@@ -38,7 +44,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op8_token_counts": op8_token_counts}
+    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op8_token_counts": op8_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
