@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
@@ -50,7 +56,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op6_license_scan": op6_license_scan, "op8_token_counts": op8_token_counts}
+    return {"op1_html_extraction": op1_html_extraction, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op6_license_scan": op6_license_scan, "op8_token_counts": op8_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
