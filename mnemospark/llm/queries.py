@@ -55,6 +55,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_crf import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_chunks import media_features
 
@@ -62,7 +68,7 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_extraction": op1_html_extraction, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op6_license_scan": op6_license_scan, "op8_token_counts": op8_token_counts, "op10_media_chunks": op10_media_chunks}
+    return {"op1_html_extraction": op1_html_extraction, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op6_license_scan": op6_license_scan, "op8_token_counts": op8_token_counts, "op9_language_id": op9_language_id, "op10_media_chunks": op10_media_chunks}
 
 
 def oracle_sql() -> dict[str, str]:
