@@ -28,7 +28,7 @@ SPACE = "▁"
 class PieceCodec:
     """Exact encoder and decoder of one BPE SentencePiece model; its caches are bounded."""
 
-    def __init__(self, model_path: str, cache_segments: int = 300_000, cache_pairs: int = 1_000_000):
+    def __init__(self, model_path: str, cache_segments: int = 400_000, cache_pairs: int = 1_000_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -68,7 +68,12 @@ class PieceCodec:
             self.words.add_word(p, len(p))
         self.words.make_automaton()
         self.cache_segments, self.cache_pairs = cache_segments, cache_pairs
+        #: Segments met lately and before; an old one that is met again is taken over, so frequent ones stay.
         self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.packed = {p: np.array([i], "<u4").tobytes() for p, i in self.id.items()}
+        self.packed_bytes = [np.array([self.byte_id[b]], "<u4").tobytes() for b in range(256)] if len(self.byte_id) == 256 else []
+        self.alphabet = frozenset(p for p in self.id if len(p) == 1)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.prefix = np.array([self.bos], "<u4").tobytes()
         self.suffix = np.array([self.eos], "<u4").tobytes()
@@ -98,16 +103,15 @@ class PieceCodec:
 
     def backtrack(self, s: str) -> list[str]:
         """The pieces of a run of known characters."""
-        quick, last = [], None
-        for end, n in self.words.iter_long(s):  # longest matches one after another are mostly right
+        quick, last, pairs = [], None, self.pairs
+        for end, n in self.words.iter_long(s):  # longest matches one after another are often right
             piece = s[end - n + 1 : end + 1]
-            if last is not None and not self.compatible(last, piece):
+            if last is not None and not (pairs.get((last, piece)) or self.compatible(last, piece)):
                 break
             quick.append(piece)
             last = piece
         else:
-            if sum(map(len, quick)) == len(s):
-                return quick
+            return quick  # every character is a piece, so the matches leave no gap
         longest: list[list[int]] = [[] for _ in s]
         for end, n in self.words.iter(s):
             longest[end - n + 1].append(n)
@@ -137,36 +141,47 @@ class PieceCodec:
         return out
 
     def encode_segment(self, s: str) -> bytes:
-        ids: list[int] = []
-        run = []
+        packed = self.packed
+        if self.alphabet.issuperset(s):
+            return b"".join([packed[p] for p in self.backtrack(s)])
+        out: list[bytes] = []
+        run = ""
         for c in s:
-            if c in self.id:
-                run.append(c)
+            if c in self.alphabet:
+                run += c
                 continue
             if run:
-                ids += [self.id[p] for p in self.backtrack("".join(run))]
-                run = []
-            ids += [self.byte_id[b] for b in c.encode()]
+                out += [packed[p] for p in self.backtrack(run)]
+                run = ""
+            out += [self.packed_bytes[b] for b in c.encode()]
         if run:
-            ids += [self.id[p] for p in self.backtrack("".join(run))]
-        return np.array(ids, "<u4").tobytes()
+            out += [packed[p] for p in self.backtrack(run)]
+        return b"".join(out)
 
     def encode_bytes(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers, without begin and end."""
         if not text:
             return b""
         text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        out, known = [], self.segments
-        for s in self.cut.findall(text):
-            x = known.get(s)
+        segments = self.cut.findall(text)
+        out = list(map(self.segments.get, segments))
+        if None in out:
+            for i, x in enumerate(out):
+                if x is None:
+                    out[i] = self._learn(segments[i])
+        return b"".join(out)
+
+    def _learn(self, s: str) -> bytes:
+        x = self.segments.get(s)
+        if x is None:
+            x = self.older.get(s)
             if x is None:
                 x = self.encode_segment(s)
-                if len(s) <= 48:
-                    if len(known) >= self.cache_segments:
-                        known.clear()
-                    known[s] = x
-            out.append(x)
-        return b"".join(out)
+            if len(s) <= 48:
+                if len(self.segments) >= self.cache_segments:
+                    self.older, self.segments = self.segments, {}
+                self.segments[s] = x
+        return x
 
     def encode(self, text: str, add_bos: bool = False, add_eos: bool = False) -> list[int]:
         ids = np.frombuffer(self.encode_bytes(text), "<u4").tolist()
