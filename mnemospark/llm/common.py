@@ -29,6 +29,11 @@ def map_arrow(df: DataFrame, columns: Sequence[str], fn: Callable[[pa.RecordBatc
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
+def row_hash(id_col: str, text_col: str = "text"):
+    """A 64-bit hash of id and text that names a row where ids may be null or repeat."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as strings, null read as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

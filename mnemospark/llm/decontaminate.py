@@ -262,3 +262,19 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         found = texts.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", threshold: float = 0.55, overlap: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no item is verified, all columns as they are; rows stay where they lie."""
+    spark, place = docs.sparkSession, docs.columns.index(text_col)
+    for index in indexes(items, block_bytes=block_bytes):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            own = shared.value
+            for b in batches:
+                if b.num_rows:
+                    yield b.filter(pa.array([not own.matches(t or "", threshold, overlap) for t in b.column(place).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, texts_of, word_hashes
+from .common import cut, mix, row_hash, texts_of, word_hashes
 from .components import components
 
 POSITIONS = 128
@@ -252,13 +252,13 @@ def _tile(comp: int, odd: list[dict], members: list[dict], percent: int) -> tupl
     return a, b
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, trees: int = 10, leaf: int = 2000, slack: float = 0.18, block_bytes: int = 4 << 20) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row; ids are longs.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, trees: int = 10, leaf: int = 2000, slack: float = 0.18, block_bytes: int = 4 << 20, row_key: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row, with ``row_key`` also rid, a hash of id and text; ids are longs.
 
     ``percent`` is the Jaccard threshold in hundredths; ``slack`` is how far a sketch may underrate a link (five
     standard deviations of 128 positions at 0.8); ``leaf`` bounds the rows that one task compares with each other.
     """
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").alias("text"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").alias("text"), row_hash(id_col, text_col).alias("rid"))
 
     def sign(batches):
         for b in batches:
@@ -274,10 +274,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     sk.append((mix(least) >> np.uint64(56)).astype(np.uint8).tobytes() if s.size else None)
                     nodes.append(mix(least[:trees] + _STEP[:trees]).view(np.int64).tolist() if s.size else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "h1", "h2", "sketch", "nodes"]
+                    [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "rid", "n", "h1", "h2", "sketch", "nodes"]
                 )
 
-    signed = cut(keyed.mapInArrow(sign, "id long, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signed")
+    signed = cut(keyed.mapInArrow(sign, "id long, rid long, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signed")
     usable = signed.where("n > 0 and id is not null")
     classes = usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     # the id that stands for a class may have other texts too; its own row carries the sketch
@@ -287,5 +287,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = _confirm(keyed.where("rep is not null"), around, reps, size, percent, block_bytes)
     final = components(links)
     of = reps.select("rep", "h1", "h2").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "n", "h1", "h2").join(of, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
+    out = signed.select("id", "rid", "n", "h1", "h2").join(of, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"), *(["rid"] if row_key else []))

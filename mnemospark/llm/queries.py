@@ -43,6 +43,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_lm import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan
 
@@ -74,7 +80,7 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_extraction": op1_html_extraction, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op6_license_scan": op6_license_scan, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_language_id": op9_language_id, "op10_media_chunks": op10_media_chunks}
+    return {"op1_html_extraction": op1_html_extraction, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_substring_dedup": op4_substring_dedup, "op5_quality_classifier": op5_quality_classifier, "op6_license_scan": op6_license_scan, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_language_id": op9_language_id, "op10_media_chunks": op10_media_chunks}
 
 
 def oracle_sql() -> dict[str, str]:
