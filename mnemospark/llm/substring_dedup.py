@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, texts_of, word_hashes
+from .common import cut, mix, texts_of, word_hashes
 
 WINDOW, SEED = 35, 8
 _P = 0x9E3779B97F4A7C15
@@ -74,25 +74,26 @@ class Windows:
         a, size = self.starts[runs], self.ends[runs] - self.starts[runs]
         return mix(self.span(a, size + self.window - 1) + mix((size.astype(np.uint64) << np.uint64(32)) + self.offset[runs].astype(np.uint64)))
 
-    def window_hashes(self, run: int) -> np.ndarray:
-        return mix(self.span(np.arange(self.starts[run], self.ends[run]), self.window))
+    def window_hashes(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the runs' windows, chained to where the seed stands in them, and where each run's begin."""
+        size = self.ends[runs] - self.starts[runs]
+        edge = np.concatenate(([0], np.cumsum(size)))
+        k = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+        h = self.span(np.repeat(self.starts[runs], size) + k, self.window)
+        return mix(h ^ mix((np.repeat(self.offset[runs], size) - k).astype(np.uint64))), edge
 
 
 def split_words(text: str) -> list[bytes]:
     return text.encode().split()  # at the bytes 9 to 13 and 32
 
 
-def _batched(names, kinds, rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
-
-
-def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rid, runs) for each document with repeated windows, and the documents under their rid, a hash of id and text.
 
     A run is (id, start, size, mask): bit k of mask says that the window of words from start + k on stands elsewhere.
     """
     kind = dict(docs.dtypes)[id_col]
-    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
 
     def seeds(batches):
         for b in batches:
@@ -104,51 +105,76 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     out.append(w.seeds)
                     who.append(np.full(w.seeds.size, r, np.int64))
             if out:
-                yield _batched(["seed", "rid"], [pa.int64(), pa.int64()], [np.concatenate(out).view(np.int64), np.concatenate(who)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], names=["seed", "rid"])
 
     found = keyed.select("rid", "text").mapInArrow(seeds, "seed long, rid long")
-    repeated = found.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
-    wanted = found.join(repeated, "seed", "left_semi").groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
+    repeated = cut(found.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1"), "seeds")
+    wanted = _salted_semi(found, repeated, ["seed"]).groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
     placed = keyed.join(wanted, "rid")
 
     def runs(batches):
-        names, kinds = ["seed", "run", "start", "size", "rid", "id", "windows"], None
         for b in batches:
             if not b.num_rows:
                 continue
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), b.schema.field("id").type, pa.list_(pa.int64())]
-            rows: list[list] = [[] for _ in names]
-            ids, rids, wants = b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(3)
+            columns: list[list] = [[] for _ in range(6)]
+            edges, row, base = [np.zeros(1, np.int64)], [], 0
+            rids, wants = b.column(0).to_numpy(), b.column(3)
             for i, t in enumerate(texts_of(b)):
                 w = Windows(split_words(t), window, seed)
                 own = np.sort(np.asarray(wants[i].values.to_numpy(zero_copy_only=False)).view(np.uint64))
                 at = np.searchsorted(own, w.seeds)
                 take = np.flatnonzero(own[np.minimum(at, own.size - 1)] == w.seeds)
-                if not take.size:
-                    continue
-                rows[0] += w.seeds[take].view(np.int64).tolist()
-                rows[1] += w.run_hashes(take).view(np.int64).tolist()
-                rows[2] += w.starts[take].tolist()
-                rows[3] += (w.ends[take] - w.starts[take]).tolist()
-                rows[4] += [rids[i]] * take.size
-                rows[5] += [ids[i]] * take.size
-                rows[6] += [mix(w.window_hashes(r) ^ np.arange(w.offset[r], w.offset[r] - (w.ends[r] - w.starts[r]), -1).astype(np.uint64)).view(np.int64) for r in take.tolist()]
-                if len(rows[0]) > 50_000:
-                    yield _batched(names, kinds, rows)
-                    rows = [[] for _ in names]
-            if rows[0]:
-                yield _batched(names, kinds, rows)
+                if take.size:
+                    h, edge = w.window_hashes(take)
+                    for column, v in zip(columns, (w.seeds[take], w.run_hashes(take), w.starts[take], w.ends[take] - w.starts[take], np.full(take.size, rids[i]), h), strict=True):
+                        column.append(v)
+                    edges.append(edge[1:] + base)
+                    base += edge[-1]
+                    row.append(np.full(take.size, i))
+            if row:
+                seed_, run, start, size, rid, h = (np.concatenate(c) for c in columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seed_.view(np.int64)), pa.array(run.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rid.astype(np.int64)), b.column(1).take(pa.array(np.concatenate(row))),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate(edges).astype(np.int32)), pa.array(h.view(np.int64)))],
+                    names=["seed", "run", "start", "size", "rid", "id", "windows"],
+                )
 
     schema = f"seed long, run long, start int, size int, rid long, id {kind}, windows array<long>"
-    placed_runs = placed.select("rid", "id", "text", "seeds").mapInArrow(runs, schema)
-    different = placed_runs.groupBy("seed", "run").agg(F.count("*").alias("copies"), F.any_value("windows").alias("windows"))
+    placed_runs = cut(placed.select("rid", "id", "text", "seeds").mapInArrow(runs, schema), "runs")
+    different = cut(placed_runs.groupBy("seed", "run").agg(F.count("*").alias("copies")), "different")
     several = different.groupBy("seed").agg(F.count("*").alias("runs")).where("runs > 1").select("seed")
-    single = different.join(several, "seed", "left_semi").select("seed", "run", "copies", F.posexplode("windows").alias("k", "w"))
+    first = placed_runs.select("seed", "run", "windows").join(several, "seed", "left_semi").dropDuplicates(["seed", "run"])
+    single = first.join(different, ["seed", "run"]).select("seed", "run", "copies", F.posexplode("windows").alias("k", "w"))
     equal = single.groupBy("seed", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("seed", "w")
-    at_boundary = single.where("copies = 1").join(equal, ["seed", "w"], "left_semi").groupBy("seed", "run").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("mask"))
-    whole = different.where("copies > 1").select("seed", "run", F.lit(-1).cast("long").alias("mask"))
-    masks = whole.unionByName(at_boundary)
-    return placed_runs.select("seed", "run", "start", "size", "rid", "id").join(masks, ["seed", "run"]).groupBy("rid").agg(F.collect_list(F.struct("id", "start", "size", "mask")).alias("runs")), keyed
+    at_boundary = single.where("copies = 1").join(equal, ["seed", "w"], "left_semi").groupBy("seed", "run").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("mask"), F.lit(1).cast("long").alias("c"))
+    whole = different.where("copies > 1").select("seed", "run", F.lit(-1).cast("long").alias("mask"), F.col("copies").alias("c"))
+    masks = cut(whole.unionByName(at_boundary), "masks")
+    matched = _salted_join(placed_runs.select("seed", "run", "start", "size", "rid", "id"), masks, ["seed", "run"])
+    return matched.groupBy("rid").agg(F.collect_list(F.struct("id", "start", "size", "mask")).alias("runs")), keyed
+
+
+HOT, SALTS = 1000, 64
+
+
+def _salt(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Deal the rows of heavy keys over salts.  A key is heavy if it has over a thousandth of all rows (column c of the
+    keys), so there are fewer than a thousand of them, however large the table is."""
+    total = keys.agg(F.sum("c")).first()[0] or 0
+    heavy = [r[on[-1]] for r in keys.where(F.col("c") > max(total // HOT, 2000)).select(on[-1]).collect()]
+    spread = F.col(on[-1]).isin(heavy) if heavy else F.lit(False)
+    salted = rows.withColumn("salt", F.when(spread, F.pmod(F.col("rid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    copied = keys.withColumn("salt", F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted, copied.drop("c")
+
+
+def _salted_semi(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    a, b = _salt(rows, keys, on)
+    return a.join(b, [*on, "salt"], "left_semi").drop("salt")
+
+
+def _salted_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    a, b = _salt(rows, keys, on)
+    return a.join(b, [*on, "salt"]).drop("salt")
 
 
 def removed_words(n_words: int, starts, sizes, masks, window: int = WINDOW) -> np.ndarray:
@@ -162,16 +188,17 @@ def removed_words(n_words: int, starts, sizes, masks, window: int = WINDOW) -> n
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, keep: bool = False) -> DataFrame:
-    """Per input row: id, n_words, n_removed and the digest of the kept words, or with ``keep`` rid and the kept text.
+def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per input row: id, n_words, n_removed, the digest of the kept words (with ``keep`` the kept text), and ``carry``.
 
     The kept text of a document without removals is its text unchanged; otherwise the kept words joined by one space.
     """
     if window - seed + 1 > 62:
         raise ValueError("a run's mask holds at most 62 windows")
     kind = dict(docs.dtypes)[id_col]
-    found, keyed = duplicate_spans(docs, id_col=id_col, text_col=text_col, window=window, seed=seed)
-    joined = keyed.join(found, "rid", "left").select("rid", "id", "text", "runs")
+    found, keyed = duplicate_spans(docs, id_col=id_col, text_col=text_col, window=window, seed=seed, carry=carry)
+    joined = keyed.join(found, "rid", "left").select("rid", "id", "text", "runs", *carry)
+    kinds = dict(joined.dtypes)
 
     def finish(batches):
         for b in batches:
@@ -193,7 +220,9 @@ def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     gone.append(0)
                 kept = b" ".join(words)
                 out.append((raw[i] if not r else kept.decode()) if keep else hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["rid", id_col, "n_words", "n_removed", "kept" if keep else "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string()), *(b.column(4 + k) for k in range(len(carry)))], names=[id_col, "n_words", "n_removed", "kept" if keep else "kept_sha256", *carry]
+            )
 
-    out = joined.mapInArrow(finish, f"rid long, `{id_col}` {kind}, n_words long, n_removed long, {'kept' if keep else 'kept_sha256'} string")
-    return out if keep else out.drop("rid")
+    tail = "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return joined.mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, {'kept' if keep else 'kept_sha256'} string{tail}")
