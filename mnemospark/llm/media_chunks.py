@@ -151,14 +151,15 @@ def chunk_store(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
             if b.num_rows:
                 rows: list[list] = [[], [], []]
                 for t, gives in zip(unpack(b.column(0)), b.column(1).to_pylist(), strict=True):
-                    own = chunks(to_wave(payload(t)))
-                    for g in gives:
+                    own = chunks(to_wave(payload(t))) if gives else []
+                    for g in gives or ():
                         if g["pos"] < len(own) and digest(own[g["pos"]]) == g["digest"]:
                             for column, v in zip(rows, (g["digest"], g["salts"], own[g["pos"]]), strict=True):
                                 column.append(v)
                 yield _batch(["digest", "salts", "bytes"], [pa.binary(), pa.int32(), pa.binary()], rows)
 
-    got = keyed.join(owned, "rid").select("packed", "gives").mapInArrow(take, "digest binary, salts int, bytes binary")
+    # a left join that reads all columns, like the last one, so that both share one exchange of the texts
+    got = keyed.join(owned, "rid", "left").select("packed", "gives", "rid", "id").mapInArrow(take, "digest binary, salts int, bytes binary")
     return got.dropDuplicates(["digest"])  # an owner's row may be repeated
 
 
@@ -198,4 +199,4 @@ def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
 
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_shared long"
-    return keyed.join(fetched, "rid", "left").join(missing, "rid", "left").select("id", "packed", "fetched", "n_shared").mapInArrow(read, schema)
+    return keyed.join(fetched, "rid", "left").join(missing, "rid", "left").select("id", "packed", "fetched", "n_shared", "rid").mapInArrow(read, schema)
