@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import vectors
+from .plans import history, moving, reads, text, vectors
 
-_GROUPS = (vectors,)
+_GROUPS = (vectors, text, history, reads, moving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
