@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 RANGE = {"eq", "gt", "gte", "lt", "lte"}
 
 
-def _path(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def _value(meta: Column, key: str) -> Column:
+    """The value under a top-level key as a variant, null if there is none or the text is no JSON object."""
+    v = F.try_parse_json(meta)
+    if "'" in key and '"' in key:
+        return F.try_element_at(v.try_cast("map<string,variant>"), F.lit(key))
+    return F.try_variant_get(v, f'$["{key}"]' if "'" in key else f"$['{key}']", "variant")
 
 
 def _number(meta: Column, key: str) -> Column:
     """The value as a double, null if it isn't a JSON number."""
-    v = F.try_parse_json(meta)
-    kind = F.schema_of_variant(F.try_variant_get(v, _path(key), "variant"))
-    numeric = kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$")
-    return F.when(numeric, F.try_variant_get(v, _path(key), "double"))
+    v = _value(meta, key)
+    numeric = F.schema_of_variant(v).rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$")
+    return F.when(numeric, F.try_variant_get(v, "$", "double"))
 
 
 def matches(meta: Column, conditions: dict) -> Column:
@@ -43,7 +46,7 @@ def matches(meta: Column, conditions: dict) -> Column:
                 b = F.lit(float(bound))
                 ok = ok & {"eq": x == b, "gt": x > b, "gte": x >= b, "lt": x < b, "lte": x <= b}[op]
         else:
-            got = F.try_variant_get(F.try_parse_json(meta), _path(key), "variant")
+            got = _value(meta, key)
             ref = F.parse_json(F.lit(json.dumps(wanted)))
             whole = r"^(BIGINT|INT|SMALLINT|TINYINT)$"
             same_kind = F.schema_of_variant(got).rlike(whole) == F.schema_of_variant(ref).rlike(whole)
