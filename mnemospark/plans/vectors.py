@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_point as fx
-from ..operators import cells, evaluation, filters, search
+from ..operators import cells, evaluation, filters, proximity, search
 
 #: Records get a creation time of one hour per id from here on; reads take this time as now.
 EPOCH = 1_700_000_000
@@ -144,6 +144,20 @@ def cells_recall(spark, d):
     return evaluation.recall_at(lists(cells.probe(index, q, 5, probes=12), "found").join(lists(search.batch_nearest(r, q, 5), "gold"), "qid"), 5)
 
 
+def graph_search(spark, d):
+    """Layered proximity graphs in shards of 250 records."""
+    r = records(spark, d)
+    return proximity.search(proximity.build(r, 250), r.where("id < 20").select(F.col("id").alias("qid"), F.col("fx").alias("q")), 5)
+
+
+def graph_recall(spark, d):
+    """Recall of proximity graphs against exact search, one row."""
+    r = records(spark, d)
+    q = r.where("id < 20").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
+    lists = lambda t, name: t.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias(name))
+    return evaluation.recall_at(lists(graph_search(spark, d), "found").join(lists(search.batch_nearest(r, q, 5), "gold"), "qid"), 5)
+
+
 def product_codes(spark, d):
     codes, _ = cells.product_codes(records(spark, d), centroids=16, iterations=3)
     return codes
@@ -215,7 +229,7 @@ def recall_at_k(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     knn_exact, knn_tag, knn_namespace, knn_batch, knn_self_join, quantize_trunc, quantize_round, quantize_cluster, dequantize, fx_arithmetic, l2_pairs, l2_float_pairs, dot_pairs, cosine_pairs, similarity_scores, scalar_quant, binarize, hamming,
-    bq_two_stage, cells_all_equals_exact, cells_probe, cells_recall, product_codes, auto_search, decay_rerank, decay_zero_halflife, meta_filter_exact, meta_filter_range, meta_filter_missing_key, knn_with_meta_filter, knn_overfetch_filter, rank_diff, recall_at_k,
+    bq_two_stage, cells_all_equals_exact, cells_probe, cells_recall, graph_search, graph_recall, product_codes, auto_search, decay_rerank, decay_zero_halflife, meta_filter_exact, meta_filter_range, meta_filter_missing_key, knn_with_meta_filter, knn_overfetch_filter, rank_diff, recall_at_k,
 )}
 
 _R = f"r AS (SELECT vec_id AS id, embedding AS vec, list_transform(embedding, lambda x: CAST(trunc(x * 65536) AS BIGINT)) AS fx, CAST(label AS BIGINT) AS tag, label % 4 AS namespace_id, {EPOCH} + vec_id * 3600 AS created_at FROM embeddings)"

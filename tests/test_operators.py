@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import fixed_point as fx
-from mnemospark.operators import bm25, cells, chunking, community, filters, graph, ingest, log, proofs, search, service, tree
+from mnemospark.operators import bm25, cells, chunking, community, filters, graph, ingest, log, proofs, proximity, search, service, tree
 from mnemospark.sources import files
 from mnemospark.streaming import tail
 
@@ -133,6 +133,19 @@ def test_cells_of_all_is_exact(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/cells").count() == 300
 
 
+def test_proximity_graphs(spark):
+    t = table(spark, 600, 8, high=200)
+    q = t.where("id % 30 = 0").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
+    graph_ = proximity.build(t.repartition(5), 200).cache()
+    assert graph_.where("layer = 0").count() == 600 and graph_.select("shard").distinct().count() == 3
+    assert graph_.agg(F.max(F.size("neighbours"))).first()[0] <= proximity.GROUND_LINKS
+    got = {(r.qid, r.id) for r in proximity.search(graph_, q, 10).collect()}
+    want = {(r.qid, r.id) for r in search.batch_nearest(t, q, 10).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert sorted(map(tuple, proximity.search(graph_, q, 3).collect())) == sorted(map(tuple, proximity.search(proximity.build(t, 200), q, 3).collect()))
+    assert proximity.build(t.where("false")).count() == 0
+
+
 def test_decay(spark):
     hits = spark.createDataFrame([(1, 1.0, 900), (2, 1.4, 1000), (3, 1.0, None), (4, 1.0, 5000)], "id long, distance double, created_at long")
     got = search.decay_rerank(hits, 1000, 100, 10).collect()
