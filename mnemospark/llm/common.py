@@ -18,13 +18,24 @@ BROADCAST_LIMIT_BYTES = 32 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: Batches are handed on in slices of about so many bytes, so that a worker's memory doesn't follow the batch size.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of bounded bytes, or one row where that is larger; empty batches are left out."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def map_arrow(df: DataFrame, columns: Sequence[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to Arrow batches of the named columns only; other columns are pruned from the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in slices(batches):
+            yield fn(batch)
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 

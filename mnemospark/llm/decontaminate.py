@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 
 K1, B = 1.2, 0.75
 LEAST, BLOCK, GROUPS = 8, 4, 64
@@ -246,9 +246,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
         def run(batches, shared=shared):
             own = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in slices(batches):
                 at, rows = [], []
                 for i, t in enumerate(texts_of(b)):
                     got = own.matches(t, threshold, overlap)
@@ -272,7 +270,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "
 
         def run(batches, shared=shared):
             own = shared.value
-            for b in batches:
+            for b in slices(batches):
                 if b.num_rows:
                     yield b.filter(pa.array([not own.matches(t or "", threshold, overlap) for t in b.column(place).to_pylist()], pa.bool_()))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT_BYTES
+from .common import BROADCAST_LIMIT_BYTES, slices
 
 LEAST, SHARE = 5, 0.9
 
@@ -38,7 +38,7 @@ CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt
 NOISE_TAGS = frozenset("nav footer aside form button select option datalist label menu dialog head".split()) | RAW
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended recommendations comment comments disqus reply replies respond widget widgets toolbar login signup search skip tags meta".split()
+    "breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended recommendations comment comments disqus reply replies respond widget widgets toolbar login signup search skip".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 
@@ -362,9 +362,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     refs = reference_pages(pages)
 
     def align(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             seen: dict[tuple[str, int], int] = {}
             for host, page, reference in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for node in equal_nodes(page, reference):
@@ -392,7 +390,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rules = wrappers(base)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 sets: dict[int, frozenset[int]] = {}
                 texts = []

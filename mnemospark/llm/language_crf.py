@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 
 BUCKETS, WIDTH = 1 << 16, 24
 _LETTER = re.compile(r"[^\W\d_]")
@@ -273,9 +273,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         chain = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 8 << 20):
             texts = [_WORD.findall(t) for t in texts_of(b)]
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             a = 0

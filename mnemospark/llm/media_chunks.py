@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, texts_of
+from .common import mix, slices, texts_of
 
 UNIT, RATE = 192, 8000
 LEAST, MOST, MEAN_BITS = 256, 8192, 10
@@ -103,7 +103,7 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in texts_of(b)], pa.binary())], names=["rid", "id", "packed"])
 
@@ -123,7 +123,7 @@ def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hashed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
 
     def digests(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 who, what, pos = [], [], []
                 for r, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
@@ -147,7 +147,7 @@ def chunk_store(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
     owned = repeated.groupBy("owner.rid").agg(F.collect_list(F.struct("owner.pos", "digest", "salts")).alias("gives"))
 
     def take(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 rows: list[list] = [[], [], []]
                 for t, gives in zip(unpack(b.column(0)), b.column(1).to_pylist(), strict=True):
@@ -180,7 +180,7 @@ def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def read(batches):
         names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks", "n_shared"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 out: list[list] = [[] for _ in kinds]
                 for t, shared, wanted in zip(unpack(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):

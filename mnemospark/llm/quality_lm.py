@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, texts_of
+from .common import broadcast_if_small, cut, slices, texts_of
 
 PAD = "\n"  # stands before a text; cannot occur in a normalised one
-SHARD_ROWS = 2_000_000
+#: Rows of the model in one broadcast shard; bytes of text whose n-grams are counted at once.
+SHARD_ROWS, COUNT_BYTES = 2_000_000, 8 << 20
 LEAST, BINS = 20, 1000
 
 
@@ -43,35 +44,48 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def count_grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
-    """Distinct n-grams of the padded texts and their counts."""
-    joined = _codes("".join(PAD * (order - 1) + t for t in texts if t))
-    if joined.size < order:
+def count_grams(texts: list[str], order: int, at_once: int = 1_000_000) -> tuple[list[str], np.ndarray]:
+    """Distinct n-grams of the padded texts and their counts; characters are packed into 64 bits, a million at once."""
+    parts, part, size = [], [], 0
+    for t in texts:
+        if t:
+            part.append(t)
+            size += len(t)
+            if size >= at_once:
+                parts.append(part)
+                part, size = [], 0
+    parts = [_codes("".join(PAD * (order - 1) + t for t in p)) for p in [*parts, part] if p]
+    if not parts:
         return [], np.zeros(0, np.int64)
-    alphabet, ids = np.unique(joined, return_inverse=True)
+    alphabet = np.unique(np.concatenate([np.unique(p) for p in parts]))
     bits = max(1, int(alphabet.size - 1).bit_length())
     if bits * order > 63:  # too many characters to pack: one by one
         from collections import Counter
 
         c = Counter(t[i : i + order] for t in (PAD * (order - 1) + t for t in texts if t) for i in range(len(t) - order + 1))
         return list(c), np.array(list(c.values()), np.int64)
-    ids = ids.astype(np.uint64)
-    key = np.zeros(joined.size - order + 1, np.uint64)
-    for k in range(order):
-        key = (key << np.uint64(bits)) | ids[k : k + key.size]
     pad = int(np.searchsorted(alphabet, ord(PAD)))
-    key = key[ids[order - 1 :] != pad]  # no n-gram ends in padding
-    found, counts = np.unique(key, return_counts=True)
+    keys, times = [], []
+    for p in parts:
+        ids = np.searchsorted(alphabet, p).astype(np.uint64)
+        key = np.zeros(p.size - order + 1, np.uint64)
+        for k in range(order):
+            key = (key << np.uint64(bits)) | ids[k : k + key.size]
+        found, counts = np.unique(key[ids[order - 1 :] != pad], return_counts=True)  # no n-gram ends in padding
+        keys.append(found)
+        times.append(counts)
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate(times), minlength=found.size).astype(np.int64)
     mask = np.uint64((1 << bits) - 1)
     chars = np.stack([alphabet[((found >> np.uint64(bits * (order - 1 - k))) & mask).astype(np.int64)] for k in range(order)], axis=1)
-    return [x.tobytes().decode("utf-32-le", "surrogatepass") for x in np.ascontiguousarray(chars.astype("<u4"))], counts.astype(np.int64)
+    return [x.tobytes().decode("utf-32-le", "surrogatepass") for x in np.ascontiguousarray(chars.astype("<u4"))], counts
 
 
 def gram_counts(trusted: DataFrame, order: int, text_col: str = "text") -> DataFrame:
     """(g, c): every n-gram of the trusted texts, summed in each batch and again before the shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, COUNT_BYTES):
             if b.num_rows:
                 grams, counts = count_grams([normalise(t) for t in texts_of(b)], order)
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["g", "c"])
@@ -262,14 +276,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, text_col: str = "text",
 
         def run(batches, shared=shared):
             own = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in slices(batches):
                 texts = [normalise(t) for t in texts_of(b, "text")]
                 sizes = np.array([len(t) for t in texts])
                 score, a = np.zeros(len(texts)), 0
-                while a < len(texts):  # about a million characters at once
-                    z = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), 1_000_000)) + a)
+                while a < len(texts):  # about half a million characters at once
+                    z = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), 500_000)) + a)
                     score[a:z] = own.score(texts[a:z])
                     a = z
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), pa.array(score), pa.array(sizes, pa.int64())], names=[*carry, "score", "chars"])
@@ -304,7 +316,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select(F.col("doc_id").alias(id_col))
     good = broadcast_if_small(good, good.count(), 16)
-    marked = docs.join(good.withColumn("trusted", F.lit(True)), id_col, "left")
+    slim = docs.select(*dict.fromkeys((id_col, text_col, lang_col, *carry)))
+    marked = slim.join(good.withColumn("trusted", F.lit(True)), id_col, "left")
     scored = perplexities(marked, marked.where("trusted"), text_col=text_col, order=order, shard_rows=shard_rows, carry=(id_col, lang_col, "trusted", *carry))
     if scored is None:
         blank = F.coalesce(F.length(F.trim(F.regexp_replace(F.col(f"`{text_col}`"), r"\s+", " "))), F.lit(0)) == 0
