@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, row_hash, texts_of, word_hashes
+from .common import cut, mix, row_hash, slices, texts_of, word_hashes
 from .components import components
 
-POSITIONS = 128
+#: POSITIONS minwise values make a sketch; MEMBERS of a neighbourhood meet its pivot in one place.
+POSITIONS, MEMBERS = 128, 500
 _RNG = np.random.default_rng(20)
 _MASK = _RNG.integers(0, 1 << 64, POSITIONS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, POSITIONS, dtype=np.uint64) | np.uint64(1)
@@ -122,7 +123,7 @@ def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
     """Links (a, b) that connect each neighbourhood of representatives."""
     spark = reps.sparkSession
     plain = reps.select("rep", "n", "sketch")
-    light = reps.select("rep", F.explode("nodes").alias("node"))
+    light = cut(reps.select("rep", F.explode("nodes").alias("node")), "places")
     out = spark.createDataFrame([], "a long, b long")
     depth = 0
     while True:
@@ -163,7 +164,7 @@ def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
 
         split = cut(met.mapInArrow(branch, "rep long, b long, nodes array<long>"), "nodes")
         out = out.unionByName(split.where("rep <> b").select(F.col("rep").alias("a"), "b"))
-        light = split.select("rep", F.explode("nodes").alias("node")).where("node <> 0").distinct()
+        light = cut(split.select("rep", F.explode("nodes").alias("node")).where("node <> 0").distinct(), "places")
         depth += 1
 
 
@@ -171,7 +172,7 @@ def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, pe
     """Links (a, b) between representatives on full sets, as spanning forests."""
 
     def sets(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 keep, out = [], []
                 for i, (t, h1, h2) in enumerate(zip(texts_of(b), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
@@ -185,10 +186,13 @@ def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, pe
     chosen = near.select(F.col("id").alias("rep"), F.col("component").alias("comp")).join(classes.select("rep", "h1", "h2"), "rep")
     full = docs.join(chosen, "rep").select("rep", "text", "comp", "h1", "h2").mapInArrow(sets, "rep long, comp long, items binary")
     full = cut(full, "sets")
-    pivots = full.where("rep = comp").groupBy("comp").agg(F.any_value("items").alias("at"))
+    # a large neighbourhood meets its pivot in several places, each with its share of the members
+    counted = near.groupBy(F.col("component").alias("comp")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    pivots = full.where("rep = comp").groupBy("comp").agg(F.any_value("items").alias("at")).join(counted, "comp").select("comp", "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = full.join(counted, "comp").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
 
     def meet(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 linked = []
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -197,7 +201,7 @@ def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, pe
                     linked.append(100 * both >= percent * (p.size + q.size - both))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in b.column(2).to_pylist()], pa.int64()), pa.array(linked, pa.bool_())], names=["rep", "comp", "bytes", "linked"])
 
-    met = cut(full.join(pivots, "comp").select("rep", "comp", "items", "at").mapInArrow(meet, "rep long, comp long, bytes long, linked boolean").distinct(), "met")
+    met = cut(salted.join(pivots, ["comp", "salt"]).select("rep", "comp", "items", "at").mapInArrow(meet, "rep long, comp long, bytes long, linked boolean").distinct(), "met")
     stars = met.where("linked and rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))
     totals = met.groupBy("comp").agg(
         F.ceil(F.sum("bytes") / block_bytes).alias("blocks"), F.ceil(F.sum(F.when(~F.col("linked"), F.col("bytes"))) / (block_bytes // 4)).alias("odd_blocks"), F.count("*").alias("c")
@@ -205,7 +209,8 @@ def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, pe
     rows = full.dropDuplicates(["rep"]).join(met.select("rep", "linked"), "rep").join(totals, "comp")
     member = F.struct("rep", "linked", "items").alias("m")
     blocks = rows.groupBy("comp", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("k")).agg(F.collect_list(member).alias("members"))
-    odd = rows.where("not linked").groupBy("comp", F.pmod(F.xxhash64("rep"), F.col("odd_blocks")).alias("k")).agg(F.collect_list(member).alias("odd"))
+    odd = rows.where("not linked").groupBy("comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("odd_blocks")).alias("o")).agg(F.collect_list(member).alias("odd"))
+    odd = odd.select("comp", "odd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
 
     def tiles(batches):
         for b in batches:
@@ -215,7 +220,7 @@ def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, pe
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    found = odd.drop("k").join(blocks.drop("k"), "comp").select("comp", "odd", "members").mapInArrow(tiles, "a long, b long")
+    found = odd.join(blocks, ["comp", "k"]).select("comp", "odd", "members").mapInArrow(tiles, "a long, b long")
     return stars.unionByName(found)
 
 
@@ -261,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").alias("text"), row_hash(id_col, text_col).alias("rid"))
 
     def sign(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 n, h1, h2, sk, nodes = [], [], [], [], []
                 for t in texts_of(b):
