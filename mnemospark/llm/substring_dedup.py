@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, texts_of, word_hashes
+from .common import cut, mix, slices, texts_of, word_hashes
 
 WINDOW, SEED = 35, 8
 _P = 0x9E3779B97F4A7C15
@@ -96,7 +96,7 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
 
     def seeds(batches):
-        for b in batches:
+        for b in slices(batches):
             rid = b.column(0).to_numpy()
             out, who = [], []
             for r, t in zip(rid, texts_of(b), strict=True):
@@ -113,9 +113,7 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = keyed.join(wanted, "rid")
 
     def runs(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             columns: list[list] = [[] for _ in range(6)]
             edges, row, base = [np.zeros(1, np.int64)], [], 0
             rids, wants = b.column(0).to_numpy(), b.column(3)
@@ -142,8 +140,8 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = f"seed long, run long, start int, size int, rid long, id {kind}, windows array<long>"
     placed_runs = cut(placed.select("rid", "id", "text", "seeds").mapInArrow(runs, schema), "runs")
     different = cut(placed_runs.groupBy("seed", "run").agg(F.count("*").alias("copies")), "different")
-    several = different.groupBy("seed").agg(F.count("*").alias("runs")).where("runs > 1").select("seed")
-    first = placed_runs.select("seed", "run", "windows").join(several, "seed", "left_semi").dropDuplicates(["seed", "run"])
+    several = different.groupBy("seed").agg(F.count("*").alias("runs"), F.sum("copies").alias("c")).where("runs > 1").select("seed", "c")
+    first = _salted_semi(placed_runs.select("seed", "run", "windows", "rid"), several, ["seed"]).select("seed", "run", "windows").dropDuplicates(["seed", "run"])
     single = first.join(different, ["seed", "run"]).select("seed", "run", "copies", F.posexplode("windows").alias("k", "w"))
     equal = single.groupBy("seed", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("seed", "w")
     at_boundary = single.where("copies = 1").join(equal, ["seed", "w"], "left_semi").groupBy("seed", "run").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("mask"), F.lit(1).cast("long").alias("c"))
@@ -201,9 +199,7 @@ def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kinds = dict(joined.dtypes)
 
     def finish(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             ids, runs = b.column(1), b.column(3).to_pylist()
             raw, texts = b.column(2).to_pylist(), texts_of(b)
             own = ids.to_pylist()
