@@ -107,7 +107,7 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], names=["seed", "rid"])
 
-    found = keyed.select("rid", "text").mapInArrow(seeds, "seed long, rid long")
+    found = cut(keyed.select("rid", "text").mapInArrow(seeds, "seed long, rid long"), "found")
     repeated = cut(found.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1"), "seeds")
     wanted = _salted_semi(found, repeated, ["seed"]).groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
     placed = keyed.join(wanted, "rid")
