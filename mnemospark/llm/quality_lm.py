@@ -11,9 +11,15 @@ orders are in all of them.  The number of shards follows the counted size of the
 bound, is broadcast on its own and joined with the n-grams of every document where it lies; the shards' sums are added
 per document.  Texts never move.
 
-A document's perplexity is compared with a quantile of its language's trusted documents, times a margin, and more for
-short texts, whose mean is uncertain; languages with fewer than ``LEAST`` trusted documents use the quantile of all.  Quantiles come from histograms of log perplexity with
-bins of a thousandth, so they are exact to a bin whatever the partitions.
+Limits are calibrated on text that the model has not seen: texts are dealt into two halves by their hash, and every
+document is scored by the model of the other half's trusted documents.  Two values are compared with a quantile of the
+language's trusted documents: the log perplexity, less an allowance for short texts, whose mean is uncertain, and that
+of the second worst word (of ``WORD_CHARS`` characters or more), as insults in a long text don't move its mean; one odd
+word may be a name.  Languages with fewer than ``LEAST`` trusted documents use the quantile of all.  Quantiles come from histograms with bins of a
+thousandth, so they are exact to a bin whatever the partitions; a margin of a twentieth is for what few trusted documents
+leave out.  If one half has no trusted text, all of it is the model.
+
+With more than one shard the sums of a document's words travel, four bytes a word and shard; else only its two values.
 
 Defined results: null, empty and blank texts have no perplexity and are not kept; without any trusted document all
 others are kept; a null language is its own group; repeated rows are scored each.
@@ -25,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +41,8 @@ PAD = "\n"  # stands before a text; cannot occur in a normalised one
 #: Rows of the model in one broadcast shard; bytes of text whose n-grams are counted at once.
 SHARD_ROWS, COUNT_BYTES = 2_000_000, 8 << 20
 LEAST, BINS = 20, 1000
+#: Words of so many characters, with the space behind them, are looked at one by one.
+WORD_CHARS = 5
 
 
 def normalise(text: str) -> str:
@@ -204,11 +213,15 @@ class Shard:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Summed log probability of the characters that fall to this shard, for each normalised text."""
+        return self.score_words(texts)[0]
+
+    def score_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and for each word of enough characters its text, its log probability here and its characters."""
         n = self.order
         joined = _codes("".join(PAD * (n - 1) + t for t in texts))
         sizes = np.array([len(t) for t in texts], np.int64)
         if not sizes.sum():
-            return np.zeros(len(texts))
+            return np.zeros(len(texts)), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         table = np.zeros(int(joined.max()) + 1, np.uint64)
         inside = self.alphabet[self.alphabet < table.size]
         table[inside] = np.arange(1, inside.size + 1, dtype=np.uint64)
@@ -216,9 +229,12 @@ class Shard:
         begin = np.cumsum(sizes + n - 1) - sizes
         at = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
         doc = np.repeat(np.arange(len(texts)), sizes)
+        # a word begins with its text or behind a space
+        word = np.cumsum((joined[at - 1] == ord(" ")) | (joined[at - 1] == ord(PAD))) - 1
+        length, of = np.bincount(word), doc[np.concatenate(([True], word[1:] != word[:-1]))]
         if self.shards > 1:
             mine = shard_of(joined[at - 2], joined[at - 1], self.shards) == self.number
-            at, doc = at[mine], doc[mine]
+            at, doc, word = at[mine], doc[mine], word[mine]
         total = np.zeros(at.size, np.float32)
         left = np.arange(at.size)
         for k in range(n, 1, -1):
@@ -235,7 +251,8 @@ class Shard:
             b, there = self.contexts[k - 1].get(context[~found])
             total[left] += np.where(there, b, np.float32(0))
         total[left] += self.uni[ids[at[left]].astype(np.int64)]
-        return np.bincount(doc, total, minlength=len(texts))
+        long = length >= WORD_CHARS
+        return np.bincount(doc, total, minlength=len(texts)), of[long], np.bincount(word, total, minlength=length.size)[long], length[long]
 
 
 def shard_of(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
@@ -263,14 +280,14 @@ def shards(tables: list[tuple[DataFrame, DataFrame | None]], order: int, shard_r
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, *, text_col: str = "text", order: int = 4, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame | None:
-    """``carry`` columns and the log perplexity (null for blank texts) of every row; None without trusted text."""
+    """``carry`` columns, the log perplexity (null for blank texts), the second worst word's and the characters of every row; None without trusted text."""
     counts = cut(gram_counts(trusted, order, text_col), "grams")
     if counts.isEmpty():
         return None
     parts, spark = [], docs.sparkSession
     picked = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").alias("text"))
     kinds = dict(picked.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", score double, chars long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", _text long, _score double, _chars long, _worst double, _words array<float>"
     for shard in shards(model_tables(counts, order), order, shard_rows):
         shared = spark.sparkContext.broadcast(shard)
 
@@ -279,22 +296,40 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, text_col: str = "text",
             for b in slices(batches):
                 texts = [normalise(t) for t in texts_of(b, "text")]
                 sizes = np.array([len(t) for t in texts])
-                score, a = np.zeros(len(texts)), 0
+                score, worst, a = np.zeros(len(texts)), np.full(len(texts), -np.inf), 0
+                sums, edges = [np.zeros(0, np.float32)], [0]
                 while a < len(texts):  # about half a million characters at once
                     z = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), 500_000)) + a)
-                    score[a:z] = own.score(texts[a:z])
+                    score[a:z], of, p, length = own.score_words(texts[a:z])
+                    mean = -p / length
+                    if own.shards == 1:
+                        order_ = np.lexsort((-mean, of))
+                        of, mean = of[order_], mean[order_]
+                        second = np.flatnonzero(of[1:] == of[:-1]) + 1
+                        second = second[(second == 1) | (of[second - 2] != of[second])]
+                        worst[of[second] + a] = mean[second]
+                    else:
+                        sums.append(mean.astype(np.float32))
+                        edges += (edges[-1] + np.cumsum(np.bincount(of, minlength=z - a))).tolist()
                     a = z
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), pa.array(score), pa.array(sizes, pa.int64())], names=[*carry, "score", "chars"])
+                words = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(sums))) if own.shards > 1 else pa.nulls(len(texts), pa.list_(pa.float32()))
+                keys = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+                values = [pa.array(keys), pa.array(score), pa.array(sizes, pa.int64()), pa.array(worst, mask=np.isneginf(worst)), words]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), *values], names=[*carry, "_text", "_score", "_chars", "_worst", "_words"])
 
         parts.append(picked.mapInArrow(run, schema))
     out = parts[0]
     if len(parts) > 1:
-        for p in parts[1:]:
+        # rows that repeat are one in each shard, and every row is returned
+        key = [*(f"`{c}`" for c in carry), "_text"]
+        ones = [p.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("_score", "_chars", "_words")), F.count("*").alias("_times")) for p in parts]
+        out = ones[0]
+        for p in ones[1:]:
             out = out.unionByName(p)
-        out = out.groupBy(*carry).agg(F.sum("score").alias("score"), F.max("chars").alias("chars"), F.count("*").alias("times"))
-        # a row that is repeated with equal carried columns has as many times the sums; every row is returned
-        out = out.withColumn("score", F.col("score") / (F.col("times") / len(parts))).withColumn("chars", F.col("chars")).withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("times") / len(parts)).cast("int")))).drop("_", "times")
-    return out.select(*(F.col(f"`{c}`") for c in carry), F.when(F.col("chars") > 0, -F.col("score") / F.col("chars")).alias("log_ppl"), "chars")
+        out = out.groupBy(*key).agg(F.sum("_score").alias("_score"), F.max("_chars").alias("_chars"), F.max("_times").alias("_times"), F.collect_list("_words").alias("_lists"))
+        summed = F.aggregate(F.slice("_lists", 2, len(parts)), F.get("_lists", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+        out = out.withColumn("_worst", F.get(F.sort_array(summed, False), F.lit(1)).cast("double")).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return out.select(*(F.col(f"`{c}`") for c in carry), F.when(F.col("_chars") > 0, -F.col("_score") / F.col("_chars")).alias("log_ppl"), F.col("_worst").alias("worst"), F.col("_chars").alias("chars"))
 
 
 def thresholds(scores: DataFrame, quantile: float, margin: float) -> DataFrame:
@@ -307,10 +342,11 @@ def thresholds(scores: DataFrame, quantile: float, margin: float) -> DataFrame:
     return lists.select(F.col("k.lang").alias("lang"), F.col("k").isNull().alias("all"), "total", ((upto["at"] + 1) / BINS + math.log(margin)).alias("cut"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, quantile: float = 0.99, margin: float = 1.4, allowance: float = 2.0, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, quantile: float = 0.99, margin: float = 1.05, allowance: float = 2.0, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang, perplexity, threshold, kept, and ``carry``) for every row of ``docs``.
 
-    The limit of the mean log perplexity is that of the language plus ``allowance`` over the root of the length.
+    The limit of the mean log perplexity is that of the language plus ``allowance`` over the root of the length; a row
+    whose second worst word lies above the language's limit for words isn't kept either.
 
     Trusted are the documents that ``labels`` calls of quality 1 and not toxic.
     """
@@ -318,14 +354,24 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     good = broadcast_if_small(good, good.count(), 16)
     slim = docs.select(*dict.fromkeys((id_col, text_col, lang_col, *carry)))
     marked = slim.join(good.withColumn("trusted", F.lit(True)), id_col, "left")
-    scored = perplexities(marked, marked.where("trusted"), text_col=text_col, order=order, shard_rows=shard_rows, carry=(id_col, lang_col, "trusted", *carry))
+    half = F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(2))
+    dealt, spread = [], {"text_col": text_col, "order": order, "shard_rows": shard_rows, "carry": (id_col, lang_col, "trusted", *carry)}
+    for k in (0, 1):
+        own = marked.where(half == k)
+        part = perplexities(own, marked.where("trusted").where(half != k), **spread)
+        dealt.append(perplexities(own, marked.where("trusted"), **spread) if part is None else part)
+    scored = None if None in dealt else dealt[0].unionByName(dealt[1])
     if scored is None:
         blank = F.coalesce(F.length(F.trim(F.regexp_replace(F.col(f"`{text_col}`"), r"\s+", " "))), F.lit(0)) == 0
         return docs.select(id_col, F.col(lang_col).alias("lang"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (~blank).alias("kept"), *carry)
     scored = cut(scored, "scores")
-    limits = thresholds(scored.where("trusted").select(F.col(lang_col).alias("lang"), "log_ppl"), quantile, margin)
-    general = limits.where("all").select(F.col("cut").alias("general"))
-    own = limits.where(~F.col("all") & (F.col("total") >= LEAST)).select("lang", "cut")
-    found = scored.withColumnRenamed(lang_col, "own_lang").join(F.broadcast(own), F.col("own_lang").eqNullSafe(F.col("lang")), "left").drop("lang").crossJoin(F.broadcast(general))
-    limit = F.coalesce("cut", "general") + F.when(F.col("chars") > 0, allowance / F.sqrt(F.greatest("chars", F.lit(1)))).otherwise(0.0)
-    return found.select(id_col, F.col("own_lang").alias("lang"), F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(F.col("log_ppl") <= limit, F.lit(False)).alias("kept"), *carry)
+    spare = F.when(F.col("chars") > 0, allowance / F.sqrt(F.greatest("chars", F.lit(1)))).otherwise(0.0)
+    found = scored.withColumnRenamed(lang_col, "own_lang")
+    for name, value in (("limit", F.col("log_ppl") - spare), ("word_limit", F.col("worst"))):
+        limits = thresholds(scored.where("trusted").select(F.col(lang_col).alias("lang"), value.alias("log_ppl")), quantile, margin)
+        general = limits.where("all").select(F.col("cut").alias("general"))
+        own = limits.where(~F.col("all") & (F.col("total") >= LEAST)).select("lang", "cut")
+        found = found.join(F.broadcast(own), F.col("own_lang").eqNullSafe(F.col("lang")), "left").drop("lang").join(F.broadcast(general), F.lit(True), "left").withColumn(name, F.coalesce("cut", "general")).drop("cut", "general")
+    limit = F.col("limit") + spare
+    fine = F.coalesce(F.col("log_ppl") <= limit, F.lit(False)) & F.coalesce(F.col("worst") <= F.col("word_limit"), F.lit(True))
+    return found.select(id_col, F.col("own_lang").alias("lang"), F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), fine.alias("kept"), *carry)
