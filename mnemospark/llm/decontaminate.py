@@ -13,7 +13,8 @@ come from all items.  Training texts are never shuffled.  Pairs are found per do
 
 Defined results: only verified pairs are returned, one row per document row and item (its best passage); null and
 empty texts and items give none; repeated rows give their rows each.  Items of fewer than ``LEAST`` words are not
-searched: they can't be told from ordinary text.
+ranked: the whole item must stand in the text, word behind word (its first place is told, all scores are 1).  A
+character of a script without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) counts as a word.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import slices, texts_of
 K1, B = 1.2, 0.75
 LEAST, BLOCK, GROUPS = 8, 4, 64
 _SPLIT = re.compile(r"(?is)^(.*?)(?:\banswer\s*:|\ba\s*:(?=\s)|(?<=\?))\s*(\S.*)$")
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$|-_/\\`~^=+"
 
 
@@ -39,8 +41,21 @@ def term(word: str) -> str:
     return word.lower().strip(_EDGE)
 
 
+def split(text: str) -> list[str]:
+    """Words between white space, and each character of a script without spaces."""
+    return text.split() if text.isascii() or not _UNSPACED.search(text) else _UNSPACED.sub(r" \1 ", text).split()
+
+
 def terms(text: str) -> list[str]:
-    return [t for t in map(term, text.split()) if t]
+    return [t for t in map(term, split(text)) if t]
+
+
+def _windows(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` term numbers."""
+    h = np.zeros(ids.size - n + 1, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + h.size].astype(np.uint64) + np.uint64(2)
+    return h
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -78,9 +93,16 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.names, self.parts = [], []
         lists: list[list[tuple[int, float]]] = []
+        #: items of few words, by their term numbers
+        self.short: dict[tuple[int, ...], list] = {}
         for name, text in items:
             t = terms(text)
             if len(t) < LEAST:
+                for x in t:
+                    if self.vocabulary.setdefault(x, len(self.vocabulary)) == len(lists):
+                        lists.append([])
+                if t:
+                    self.short.setdefault(tuple(self.vocabulary[x] for x in t), []).append(name)
                 continue
             tf: dict[str, int] = {}
             for x in t:
@@ -106,6 +128,7 @@ class Index:
                 weights = [w for _, w in own]
                 self.postings[g][k] = ([d for d, _ in own], weights, [max(weights[i : i + BLOCK]) for i in range(0, len(own), BLOCK)])
                 self.grouped[k, g] = max(weights)
+        self.short_hashes = {n: np.unique([_windows(np.array(x), n)[0] for x in self.short if len(x) == n]) for n in sorted({len(x) for x in self.short})}
         self.seen = _Numbers(self.vocabulary)
 
     def __getstate__(self):
@@ -167,15 +190,25 @@ class Index:
             cursor = moved + cursor[pivot + 1 :]
         return found
 
+    def whole(self, k: np.ndarray) -> list[tuple]:
+        """The items of few words that stand in the text as they are."""
+        found: dict[tuple[int, ...], int] = {}
+        for n, hashes in self.short_hashes.items():
+            if k.size >= n:
+                for a in np.flatnonzero(np.isin(_windows(k, n), hashes)).tolist():
+                    found.setdefault(tuple(k[a : a + n].tolist()), a)
+        return [(name, a, len(x), 1.0, 1.0, 1.0) for x, a in found.items() for name in self.short.get(x, ())]
+
     def matches(self, text: str, threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
         """(item, first word, words, score, question overlap, answer overlap): the best verified passage of each item."""
-        k = self.ids(text.split())
+        k = self.ids(split(text))
         k = k[k > -2]
-        if not k.size or not self.names:
-            return []
         inside = np.flatnonzero(k >= 0)
         if not inside.size:
             return []
+        whole = self.whole(k)
+        if not self.names:
+            return whole
         size = 2 * self.longest
         starts = np.arange(0, max(k.size - self.longest, 1), self.longest)
         ends = np.minimum(starts + size, k.size)
@@ -197,7 +230,7 @@ class Index:
                     ow = self._overlap(w, seen, passage) if w else 1.0
                     if oq >= overlap and ow >= overlap and (d not in best or (oq + ow, score) > (best[d][4] + best[d][5], best[d][3])):
                         best[d] = (self.names[d], a, z - a, score, oq, ow)
-        return list(best.values())
+        return [*best.values(), *whole]
 
     @staticmethod
     def _overlap(grams: set, seen: set, passage: np.ndarray) -> float:
@@ -219,10 +252,11 @@ def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.string()))], names=["item", "n", "terms"])
 
     kind = dict(usable.dtypes)["item"]
-    listed = usable.mapInArrow(tokens, f"item {kind}, n long, terms array<string>").where(F.col("n") >= LEAST)
-    n, mean, longest = listed.agg(F.count("*"), F.avg("n"), F.max("n")).first()
-    if not n:
+    listed = usable.mapInArrow(tokens, f"item {kind}, n long, terms array<string>").where("n > 0")
+    every, n, mean, longest = listed.agg(F.count("*"), F.count_if(F.col("n") >= LEAST), F.avg(F.when(F.col("n") >= LEAST, F.col("n"))), F.max("n")).first()
+    if not every:
         return
+    listed = listed.where(F.col("n") >= LEAST)
     size = usable.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
     df = listed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
