@@ -12,8 +12,10 @@ pivot with all members, in blocks of bounded bytes, of which again only a spanni
 different texts is lost inside a neighbourhood, and a group of thousands of copies costs a few rows a copy.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a text of fewer words
-than a shingle has one shingle, its whole sequence; a row without id is linked with nothing, its component is null;
-repeated rows are one class and each row is returned.
+than a shingle has one shingle, its whole sequence; repeated rows are one class and each row is returned.  Classes are
+named by 64 bits of their set's digest, not by an id, so different texts under one id stay apart and rows without id take
+part; a component's id is its smallest, and null where it has none.  With ``row_key`` a row without id is kept only where
+its component has no id, and then only that of the smallest rid; without, every row without id is returned as kept.
 """
 
 from __future__ import annotations
@@ -283,14 +285,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 )
 
     signed = cut(keyed.mapInArrow(sign, "id long, rid long, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signed")
-    usable = signed.where("n > 0 and id is not null")
-    classes = usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    # the id that stands for a class may have other texts too; its own row carries the sketch
-    reps = cut(usable.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"]).dropDuplicates(["h1", "h2"]).select(F.col("id").alias("rep"), "n", "h1", "h2", "sketch", "nodes"), "reps")
+    usable = signed.where("n > 0")
+    reps = cut(usable.select(F.col("h1").alias("rep"), "n", "h1", "h2", "sketch", "nodes").dropDuplicates(["rep"]), "reps")
     near = int(POSITIONS * (percent / 100 - slack))
     around = components(_gather(reps.select("rep", "n", "sketch", "nodes"), leaf, near, percent))
-    links = _confirm(keyed.where("rep is not null"), around, reps, size, percent, block_bytes)
+    # one row of each class that has neighbours brings its text
+    own = usable.join(around.select(F.col("id").alias("h1")), "h1", "left_semi").groupBy("h1").agg(F.min("rid").alias("rid"))
+    texts = keyed.select("rid", "text").join(own.select("rid", F.col("h1").alias("rep")), "rid").select("rep", "text")
+    links = _confirm(texts, around, reps, size, percent, block_bytes)
     final = components(links)
-    of = reps.select("rep", "h1", "h2").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "rid", "n", "h1", "h2").join(of, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"), *(["rid"] if row_key else []))
+    of = reps.select(F.col("rep").alias("h1")).join(final.withColumnRenamed("id", "h1"), "h1", "left").select("h1", F.coalesce("component", "h1").alias("comp"))
+    placed = usable.groupBy("h1").agg(F.min("id").alias("id"), F.min("rid").alias("rid")).join(of, "h1")
+    least = placed.groupBy("comp").agg(F.min("id").alias("component_id"), F.min("rid").alias("first"))
+    names = placed.select("h1", "comp").join(least, "comp").select("h1", "component_id", "first")
+    out = signed.select("id", "rid", "n", "h1").join(names, "h1", "left")
+    alone = F.col("n") == 0
+    lone = alone | (F.col("component_id").isNull() & (F.col("rid") == F.col("first"))) if row_key else F.lit(True)
+    kept = F.when(F.col("id").isNull(), lone).otherwise(alone | (F.col("id") == F.col("component_id")))
+    group = F.when(alone | (F.col("id").isNull() & F.lit(not row_key)), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"), *(["rid"] if row_key else []))
