@@ -2,7 +2,7 @@
 
 Each stage is (name, function of (spark, documents, directory of the tables)).  A stage's result is written as Parquet
 and read again as the next one's documents; all but the last return the columns of ``documents``.  Rows are told apart
-by a hash of id and text, so null and repeated ids neither fail nor multiply.
+by a 128-bit key of id and text, so null and repeated ids neither fail nor multiply.
 
 The near-duplicate stage takes shingles of five words at a similarity of 0.8.  Of rows with equal id and text one stays.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import cut, row_hash
+from mnemospark.llm.common import cut, drop_cut, row_key
 from mnemospark.llm.decontaminate import without_contaminated
 from mnemospark.llm.near_dups import near_duplicates
 from mnemospark.llm.piece_codec import encode_decode
@@ -25,15 +25,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    keyed = docs.select(*COLUMNS, row_hash("doc_id").alias("rid"))
+    keyed = docs.select(*COLUMNS, row_key("doc_id", "text").alias("rid"))
     kept = classify(keyed, table(spark, sf_dir, "labels"), carry=("rid",)).where("kept").select("rid")
     return keyed.join(kept, "rid", "left_semi").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    keyed = docs.select(*COLUMNS, row_hash("doc_id").alias("rid"))
-    kept = near_duplicates(docs, size=5, percent=80, row_key=True).where("kept").select("rid")
+    keyed = docs.select(*COLUMNS, row_key("doc_id", "text").alias("rid"))
+    kept = near_duplicates(docs, size=5, percent=80, row_names=True).where("kept").select("rid")
     return keyed.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).select(*COLUMNS)
 
 

@@ -13,8 +13,8 @@ different texts is lost inside a neighbourhood, and a group of thousands of copi
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a text of fewer words
 than a shingle has one shingle, its whole sequence; repeated rows are one class and each row is returned.  Classes are
-named by 64 bits of their set's digest, not by an id, so different texts under one id stay apart and rows without id take
-part; a component's id is its smallest, and null where it has none.  With ``row_key`` a row without id is kept only where
+told apart by the 128-bit digest of their set, not by an id, so different texts under one id stay apart and rows without id take
+part; a component's id is its smallest, and null where it has none.  With ``row_names`` a row without id is kept only where
 its component has no id, and then only that of the smallest rid; without, every row without id is returned as kept.
 """
 
@@ -23,14 +23,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, row_hash, slices, texts_of, word_hashes
+from .common import cut, drop_cut, key_groups, map_batches, mix, row_key, salted, salted_join, slices, texts_of, word_hashes
 from .components import components
 
 #: POSITIONS minwise values make a sketch; MEMBERS of a neighbourhood meet its pivot in one place.
-POSITIONS, MEMBERS = 128, 500
+#: MET classes at most share half of a digest: of 1e12 classes some 27,000 pairs do by chance.
+POSITIONS, MEMBERS, MET = 128, 500, 100_000
 _RNG = np.random.default_rng(20)
 _MASK = _RNG.integers(0, 1 << 64, POSITIONS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, POSITIONS, dtype=np.uint64) | np.uint64(1)
@@ -91,24 +92,6 @@ def _neighbourhoods(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, leas
     return ids[take], ids[first[take]]
 
 
-def _groups(batches, key: int):
-    """Runs of rows with one key, from batches sorted by it."""
-    rest = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        k = rest.column(key).combine_chunks().to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(k[1:] != k[:-1]) + 1
-        if edges.size:
-            done = rest.slice(0, int(edges[-1])).combine_chunks()
-            yield done, np.concatenate(([0], edges))
-            rest = rest.slice(int(edges[-1])).combine_chunks()
-    if rest is not None:
-        yield rest.combine_chunks(), np.array([0, rest.num_rows])
-
-
 def _sketches(column, width: int = POSITIONS) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
@@ -122,37 +105,42 @@ def _children(node: np.ndarray, sketch: np.ndarray, branches: int) -> np.ndarray
 
 
 def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect each neighbourhood of representatives."""
-    spark = reps.sparkSession
+    """Links (a, b) that connect each neighbourhood of representatives; each depth of the trees is a table of its own."""
     plain = reps.select("rep", "n", "sketch")
     light = cut(reps.select("rep", F.explode("nodes").alias("node")), "places")
-    out = spark.createDataFrame([], "a long, b long")
+    out = None
     depth = 0
-    while True:
-        sizes = light.groupBy("node").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1")
-        full = light.join(sizes, "node").join(plain, "rep").select("node", "rep", "n", "sketch", "c", "pivot")
-
-        def compare(batches):
-            for t, edges in _groups(batches, 0):
-                ids, sizes_, sk = t.column(1).to_numpy(), t.column(2).to_numpy(), _sketches(t.column(3))
-                a, b = [], []
-                for x, y in zip(edges, [*edges[1:], t.num_rows], strict=True):
-                    if y - x > 1:
-                        p, q = _neighbourhoods(ids[x:y], sizes_[x:y], sk[x:y], near, percent)
-                        a.append(p)
-                        b.append(q)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
-        leaves = full.where(F.col("c") <= leaf).select("node", "rep", "n", "sketch")
-        found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
-        out = out.unionByName(found)
+    def compare(batches):
+        for t, edges in key_groups(batches, 0):
+            ids, sizes_, sk = t.column(1).to_numpy(), t.column(2).to_numpy(), _sketches(t.column(3))
+            a, b = [], []
+            for x, y in zip(edges, [*edges[1:], t.num_rows], strict=True):
+                if y - x > 1:
+                    p, q = _neighbourhoods(ids[x:y], sizes_[x:y], sk[x:y], near, percent)
+                    a.append(p)
+                    b.append(q)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+    while True:
+        sizes = cut(light.groupBy("node").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1"), "sizes")
         large = sizes.where(F.col("c") > leaf)
+        pivots = large.select("pivot").distinct().join(plain.select(F.col("rep").alias("pivot"), F.col("sketch").alias("at")), "pivot")
+        nodes = cut(sizes.where(F.col("c") <= leaf).select("node", "c", F.lit(None).cast("long").alias("pivot"), F.lit(None).cast("binary").alias("at")).unionByName(large.join(pivots, "pivot").select("node", "c", "pivot", "at")), "pivots")
+        rows, keys = salted(light, nodes, ["node"], "rep")
+
+        def members(which: str, rows=rows, keys=keys) -> DataFrame:
+            return rows.join(keys.where(which), ["node", "salt"]).join(plain, "rep").select("node", "rep", "n", "sketch", "pivot", "at")
+
+        small = members("pivot is null").repartition("node").sortWithinPartitions("node")
+        found = cut(map_batches(small.select("node", "rep", "n", "sketch"), compare, "a long, b long"), "near")
+        out = found if out is None else out.unionByName(found)
         if large.isEmpty():
             return out
         # a node too large: its documents meet its pivot, those next to it leave, the others branch
         branches = (4, 2)[depth] if depth < 2 else 1
-        met = full.where(F.col("c") > leaf).join(plain.select(F.col("rep").alias("pivot"), F.col("sketch").alias("at")), "pivot").select("node", "rep", "sketch", "pivot", "at")
+        met = members("pivot is not null").select("node", "rep", "sketch", "pivot", "at")
 
         def branch(batches, branches=branches):
             for b in batches:
@@ -164,34 +152,26 @@ def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
                     link = [p if s >= near - 8 else r for p, s, r in zip(b.column(3).to_pylist(), same.tolist(), b.column(1).to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(1), pa.array(link, pa.int64()), pa.array(own.tolist(), pa.list_(pa.int64()))], names=["rep", "b", "nodes"])
 
-        split = cut(met.mapInArrow(branch, "rep long, b long, nodes array<long>"), "nodes")
+        split = cut(map_batches(met, branch, "rep long, b long, nodes array<long>"), "nodes")
         out = out.unionByName(split.where("rep <> b").select(F.col("rep").alias("a"), "b"))
+        drop_cut(light)
         light = cut(split.select("rep", F.explode("nodes").alias("node")).where("node <> 0").distinct(), "places")
         depth += 1
 
 
-def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, percent: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) between representatives on full sets, as spanning forests."""
+def _confirm(texts: DataFrame, near: DataFrame, size: int, percent: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) between representatives on full sets, as spanning forests; ``texts`` are (rep, text, comp)."""
 
     def sets(batches):
         for b in slices(batches):
             if b.num_rows:
-                keep, out = [], []
-                for i, (t, h1, h2) in enumerate(zip(texts_of(b), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                    s = shingles(t, size)
-                    if _digest(s) == (h1, h2):  # else another text under the same id
-                        keep.append(i)
-                        out.append(s.tobytes())
-                got = b.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([got.column(0), got.column(2), pa.array(out, pa.binary())], names=["rep", "comp", "items"])
-
-    chosen = near.select(F.col("id").alias("rep"), F.col("component").alias("comp")).join(classes.select("rep", "h1", "h2"), "rep")
-    full = docs.join(chosen, "rep").select("rep", "text", "comp", "h1", "h2").mapInArrow(sets, "rep long, comp long, items binary")
-    full = cut(full, "sets")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([shingles(t, size).tobytes() for t in texts_of(b)], pa.binary())], names=["rep", "comp", "items"])
+
+    full = cut(map_batches(texts, sets, "rep long, comp long, items binary"), "sets")
     # a large neighbourhood meets its pivot in several places, each with its share of the members
-    counted = near.groupBy(F.col("component").alias("comp")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    counted = near.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / MEMBERS).cast("int"))
     pivots = full.where("rep = comp").groupBy("comp").agg(F.any_value("items").alias("at")).join(counted, "comp").select("comp", "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salted = full.join(counted, "comp").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    dealt = salted_join(full, counted, ["comp"], "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
 
     def meet(batches):
         for b in slices(batches):
@@ -203,12 +183,12 @@ def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, pe
                     linked.append(100 * both >= percent * (p.size + q.size - both))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in b.column(2).to_pylist()], pa.int64()), pa.array(linked, pa.bool_())], names=["rep", "comp", "bytes", "linked"])
 
-    met = cut(salted.join(pivots, ["comp", "salt"]).select("rep", "comp", "items", "at").mapInArrow(meet, "rep long, comp long, bytes long, linked boolean").distinct(), "met")
+    met = cut(map_batches(dealt.join(pivots, ["comp", "salt"]).select("rep", "comp", "items", "at"), meet, "rep long, comp long, bytes long, linked boolean").distinct(), "met")
     stars = met.where("linked and rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))
     totals = met.groupBy("comp").agg(
         F.ceil(F.sum("bytes") / block_bytes).alias("blocks"), F.ceil(F.sum(F.when(~F.col("linked"), F.col("bytes"))) / (block_bytes // 4)).alias("odd_blocks"), F.count("*").alias("c")
     ).where("odd_blocks > 0 and c > 2")
-    rows = full.dropDuplicates(["rep"]).join(met.select("rep", "linked"), "rep").join(totals, "comp")
+    rows = salted_join(full.dropDuplicates(["rep"]).join(met.select("rep", "linked"), "rep"), totals, ["comp"], "rep")
     member = F.struct("rep", "linked", "items").alias("m")
     blocks = rows.groupBy("comp", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("k")).agg(F.collect_list(member).alias("members"))
     odd = rows.where("not linked").groupBy("comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("odd_blocks")).alias("o")).agg(F.collect_list(member).alias("odd"))
@@ -222,7 +202,7 @@ def _confirm(docs: DataFrame, near: DataFrame, classes: DataFrame, size: int, pe
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    found = odd.join(blocks, ["comp", "k"]).select("comp", "odd", "members").mapInArrow(tiles, "a long, b long")
+    found = map_batches(odd.join(blocks, ["comp", "k"]).select("comp", "odd", "members"), tiles, "a long, b long")
     return stars.unionByName(found)
 
 
@@ -259,13 +239,13 @@ def _tile(comp: int, odd: list[dict], members: list[dict], percent: int) -> tupl
     return a, b
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, trees: int = 10, leaf: int = 2000, slack: float = 0.18, block_bytes: int = 4 << 20, row_key: bool = False) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row, with ``row_key`` also rid, a hash of id and text; ids are longs.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, trees: int = 10, leaf: int = 2000, slack: float = 0.18, block_bytes: int = 4 << 20, row_names: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row, with ``row_names`` also rid, the key of id and text; ids are longs.
 
     ``percent`` is the Jaccard threshold in hundredths; ``slack`` is how far a sketch may underrate a link (five
     standard deviations of 128 positions at 0.8); ``leaf`` bounds the rows that one task compares with each other.
     """
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").alias("text"), row_hash(id_col, text_col).alias("rid"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("rid"), F.col(f"`{text_col}`").alias("text"))
 
     def sign(batches):
         for b in slices(batches):
@@ -281,26 +261,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     sk.append((mix(least) >> np.uint64(56)).astype(np.uint8).tobytes() if s.size else None)
                     nodes.append(mix(least[:trees] + _STEP[:trees]).view(np.int64).tolist() if s.size else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "rid", "n", "h1", "h2", "sketch", "nodes"]
+                    [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "rid", "n", "h1", "h2", "sketch", "nodes"]
                 )
 
-    signed = cut(keyed.mapInArrow(sign, "id long, rid long, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signed")
+    signed = cut(map_batches(keyed, sign, "id long, rid string, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signed")
     usable = signed.where("n > 0")
-    reps = cut(usable.select(F.col("h1").alias("rep"), "n", "h1", "h2", "sketch", "nodes").dropDuplicates(["rep"]), "reps")
+    # one row of each class brings its text; a class is named by half of its digest, those few whose halves meet by another hash
+    classes = usable.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.min("id").alias("id"), F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("n", "sketch", "nodes")))
+    classes = cut(classes, "classes")
+    twice = classes.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select(F.col("h1").alias("_h"))
+    same = [r[0] for r in twice.limit(MET + 1).collect()]
+    if len(same) > MET:
+        raise ValueError("more digests meet in 64 bits than hashing can explain")
+
+    def rep() -> Column:
+        return F.when(F.col("h1").isin(same), F.xxhash64("h2", "h1")).otherwise(F.col("h1")) if same else F.col("h1")
+
+    reps = classes.select(rep().alias("rep"), "rid", "id", "n", "c", "sketch", "nodes")
     near = int(POSITIONS * (percent / 100 - slack))
     around = components(_gather(reps.select("rep", "n", "sketch", "nodes"), leaf, near, percent))
-    # one row of each class that has neighbours brings its text
-    own = usable.join(around.select(F.col("id").alias("h1")), "h1", "left_semi").groupBy("h1").agg(F.min("rid").alias("rid"))
-    texts = keyed.select("rid", "text").join(own.select("rid", F.col("h1").alias("rep")), "rid").select("rep", "text")
-    links = _confirm(texts, around, reps, size, percent, block_bytes)
-    final = components(links)
-    of = reps.select(F.col("rep").alias("h1")).join(final.withColumnRenamed("id", "h1"), "h1", "left").select("h1", F.coalesce("component", "h1").alias("comp"))
-    placed = usable.groupBy("h1").agg(F.min("id").alias("id"), F.min("rid").alias("rid")).join(of, "h1")
+    own = reps.join(around.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep").select("rid", "rep", "comp")
+    texts = keyed.select("rid", "text").join(own, "rid").select("rep", "text", "comp")
+    final = components(_confirm(texts, around, size, percent, block_bytes))
+    placed = reps.select("rep", "id", "rid", "c").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     least = placed.groupBy("comp").agg(F.min("id").alias("component_id"), F.min("rid").alias("first"))
-    names = placed.select("h1", "comp").join(least, "comp").select("h1", "component_id", "first")
-    out = signed.select("id", "rid", "n", "h1").join(names, "h1", "left")
+    names = placed.select("rep", "c", "comp").join(least, "comp").select("rep", "c", "component_id", "first")
+    # a text of very many rows is one class: its rows are dealt over salts, rows without words need no class
+    rows = salted_join(usable.select("id", "rid", "n", rep().alias("rep")), cut(names, "names"), ["rep"], "rid")
+    out = rows.select("id", "rid", "n", "component_id", "first").unionByName(signed.where("n = 0").select("id", "rid", "n", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("string").alias("first")))
     alone = F.col("n") == 0
-    lone = alone | (F.col("component_id").isNull() & (F.col("rid") == F.col("first"))) if row_key else F.lit(True)
+    lone = alone | (F.col("component_id").isNull() & (F.col("rid") == F.col("first"))) if row_names else F.lit(True)
     kept = F.when(F.col("id").isNull(), lone).otherwise(alone | (F.col("id") == F.col("component_id")))
-    group = F.when(alone | (F.col("id").isNull() & F.lit(not row_key)), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"), *(["rid"] if row_key else []))
+    group = F.when(alone | (F.col("id").isNull() & F.lit(not row_names)), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"), *(["rid"] if row_names else []))
