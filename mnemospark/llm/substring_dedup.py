@@ -1,22 +1,26 @@
 """Substring deduplication by relative Lempel-Ziv factors.
 
-Every document is parsed against an index of all documents, kept in blocks that are dealt out by seed.  A seed is the
-smallest of the hashed ``seed_words``-grams of a window of ``window`` words, so equal windows anywhere have the same
-seed at the same place in them; neighbouring windows with one seed are a run.
-
-1. Every run's seed goes to its block; seeds that stand in one place only can't belong to a repeated window.
-2. Runs whose seed is repeated are looked up whole: (seed, hash of all the words that the run's windows cover).  A run
-   that stands elsewhere too is inside a factor, all of its windows are repeated.
-3. What is left are the runs at factor boundaries.  Their windows are compared one by one with those of the other
-   different runs of the same seed; each different run takes part once, with its count.
+The reference is all documents, dealt in pieces to blocks by seed.  A seed is the smallest of the hashed
+``seed_words``-grams of a window of ``window`` words, so equal windows anywhere have the same seed at the same place in
+them.  Neighbouring windows with one seed are a run; the words that they cover are a piece of reference, and every
+window lies in exactly one piece.
+
+1. Seeds that stand in one place only can't belong to a repeated window; the other runs make up the reference.
+2. Equal pieces of a seed are counted first.  One that stands in several places is a factor as a whole.
+3. Different pieces go to their seed's block, which gets a suffix index.  Every piece that stands once is factored
+   greedily against the block: at each place the longest match elsewhere in it, then on behind it.  All windows in a
+   factor of ``window`` words or more are repeated; windows over a boundary between factors are looked up by themselves,
+   as they may match elsewhere than both.
 4. A document's repeated windows, joined where they overlap, are its duplicate spans (at least ``window`` words long).
 
+A block is gathered from whole seeds until it has ``BLOCK_WORDS`` words.  A seed of more than ``PIECES`` different pieces
+would be a block without bound; the windows of its pieces are grouped by their hash instead, which finds the same.
 Counts are combined before shuffles, so a passage that stands in a third of all documents is one row per task.  The
 texts are shuffled once; Spark reuses that exchange for the second join.
 
 Defined results: a null or empty text has no words and no spans; documents of fewer than ``window`` words keep all;
-repeated rows count as documents that equal each other; null ids are allowed.  Words are compared by 64-bit hashes
-chained to a 64-bit run or window hash under a 64-bit seed.
+repeated rows count as documents that equal each other; null ids are allowed.  Seeds and whole pieces are compared by
+64-bit hashes, words in a block by 32 bits each: unequal windows pass for equal only if all words that differ collide.
 """
 
 from __future__ import annotations
@@ -28,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices, texts_of, word_hashes
+from .common import cut, deal, drop_cut, heavy_keys, key_groups, map_batches, mix, over_salts, salted_join, slices, texts_of, word_hashes
 
 WINDOW, SEED = 35, 8
+#: Words of reference pieces that are indexed at once; different pieces of one seed that a block takes; runs whose words
+#: a task remembers to have told.
+BLOCK_WORDS, PIECES, TOLD = 400_000, 4000, 200_000
 _P = 0x9E3779B97F4A7C15
 
 
@@ -50,6 +57,7 @@ class Windows:
         if self.n < window:
             return
         h = mix(word_hashes(words))
+        self.words = (h >> np.uint64(32)).astype(np.uint32)
         up, self.down = _powers(self.n)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:-1])))
         grams = mix(self.span(np.arange(self.n - seed + 1), seed))
@@ -74,26 +82,89 @@ class Windows:
         a, size = self.starts[runs], self.ends[runs] - self.starts[runs]
         return mix(self.span(a, size + self.window - 1) + mix((size.astype(np.uint64) << np.uint64(32)) + self.offset[runs].astype(np.uint64)))
 
-    def window_hashes(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the runs' windows, chained to where the seed stands in them, and where each run's begin."""
-        size = self.ends[runs] - self.starts[runs]
-        edge = np.concatenate(([0], np.cumsum(size)))
-        k = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-        h = self.span(np.repeat(self.starts[runs], size) + k, self.window)
-        return mix(h ^ mix((np.repeat(self.offset[runs], size) - k).astype(np.uint64))), edge
+    def pieces(self, runs: np.ndarray) -> list[bytes]:
+        """The words that each run's windows cover, 32 bits a word."""
+        return [self.words[a : z + self.window - 1].tobytes() for a, z in zip(self.starts[runs].tolist(), self.ends[runs].tolist(), strict=True)]
+
+
+class Reference:
+    """A block of reference pieces under a suffix index.
+
+    Suffixes are ranked by prefix doubling; behind every piece stands a word of its own, so no match reaches over its
+    end.  The longest match of a place with any other place of the block is that with a neighbour in suffix order.
+    """
+
+    def __init__(self, pieces: list[np.ndarray]):
+        self.sizes = np.array([p.size for p in pieces], np.int64)
+        self.begin = np.cumsum(self.sizes + 1) - (self.sizes + 1)
+        n = int(self.sizes.sum()) + len(pieces)
+        text = np.zeros(n, np.uint64)
+        for p, a in zip(pieces, self.begin.tolist(), strict=True):
+            text[a : a + p.size] = p
+        text[self.begin + self.sizes] = (np.uint64(1) << np.uint64(32)) + np.arange(len(pieces), dtype=np.uint64)
+        rank = np.unique(text, return_inverse=True)[1].astype(np.uint64)
+        ranks, step = [rank], 1
+        while step <= self.sizes.max(initial=0):
+            right = np.zeros(n, np.uint64)
+            right[:-step] = rank[step:] + np.uint64(1)
+            rank = np.unique(rank * np.uint64(n + 1) + right, return_inverse=True)[1].astype(np.uint64)
+            ranks.append(rank)
+            step *= 2
+        order = np.argsort(rank, kind="stable")
+        a, b = order[:-1], order[1:]
+        common = np.zeros(a.size, np.int64)
+        for k in range(len(ranks) - 1, -1, -1):  # how many words neighbours have in common, by halving
+            x, y = a + common, b + common
+            inside = (x < n) & (y < n)
+            common[inside] += np.where(ranks[k][x[inside]] == ranks[k][y[inside]], 1 << k, 0)
+        self.longest = np.zeros(n, np.int64)
+        np.maximum.at(self.longest, a, common)
+        np.maximum.at(self.longest, b, common)
+
+    def factors(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, start, words) of the greedy parse of the pieces: always the longest match, or one word without any."""
+        out: tuple[list, list, list] = ([], [], [])
+        at, piece = np.zeros(of.size, np.int64), of
+        while piece.size:
+            size = np.maximum(self.longest[self.begin[piece] + at], 1)
+            for column, v in zip(out, (piece, at, size), strict=True):
+                column.append(v)
+            at = at + size
+            left = at < self.sizes[piece]
+            piece, at = piece[left], at[left]
+        return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+
+    def repeated(self, of: np.ndarray, window: int) -> list[int]:
+        """For each of the pieces a mask of its windows that stand elsewhere in the block too."""
+        piece, start, size = self.factors(of)
+        edge = np.zeros(self.longest.size + 1, np.int64)
+        long = size >= window
+        np.add.at(edge, self.begin[piece[long]] + start[long], 1)
+        np.add.at(edge, self.begin[piece[long]] + start[long] + size[long] - window + 1, -1)
+        inside = np.cumsum(edge[:-1]) > 0  # all windows of a long factor
+        out = []
+        for p in of.tolist():
+            a, m = int(self.begin[p]), int(self.sizes[p]) - window + 1
+            own = inside[a : a + m]
+            # what is left lies over a boundary between factors and is looked up by itself
+            boundary = np.flatnonzero(~own)
+            own[boundary] = self.longest[a + boundary] >= window
+            out.append(int(np.dot(own.astype(np.int64), np.int64(1) << np.arange(m))))
+        return out
 
 
 def split_words(text: str) -> list[bytes]:
     return text.encode().split()  # at the bytes 9 to 13 and 32
 
 
-def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(rid, runs) for each document with repeated windows, and the documents under their rid, a hash of id and text.
+def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list]:
+    """(rid, runs) for each document with repeated windows, the documents under their rid, and the rids of very many rows.
 
     A run is (id, start, size, mask): bit k of mask says that the window of words from start + k on stands elsewhere.
     """
     kind = dict(docs.dtypes)[id_col]
-    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
+    parts = [x for c in (id_col, text_col) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+    keyed = docs.select(F.xxhash64(*parts).alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
 
     def seeds(batches):
         for b in slices(batches):
@@ -107,72 +178,103 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], names=["seed", "rid"])
 
-    found = cut(keyed.select("rid", "text").mapInArrow(seeds, "seed long, rid long"), "found")
+    found = cut(map_batches(keyed.select("rid", "text"), seeds, "seed long, rid long"), "found")
     repeated = cut(found.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1"), "seeds")
-    wanted = _salted_semi(found, repeated, ["seed"]).groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
-    placed = keyed.join(wanted, "rid")
+    wanted = cut(salted_join(found, repeated, ["seed"], "rid", "left_semi").groupBy("rid").agg(F.collect_set("seed").alias("seeds"), F.count("*").alias("c")), "wanted")
+    drop_cut(found)
+    heavy = heavy_keys(wanted, "rid")  # rows that repeat, or texts of very many runs
+    dealt = deal(keyed, "rid", heavy, F.spark_partition_id())
+    placed = dealt.join(over_salts(wanted.drop("c"), "rid", heavy), ["rid", "salt"])
 
     def runs(batches):
+        told: set[int] = set()
         for b in slices(batches):
-            columns: list[list] = [[] for _ in range(6)]
-            edges, row, base = [np.zeros(1, np.int64)], [], 0
+            columns: list[list] = [[] for _ in range(5)]
+            pieces, row = [], []
             rids, wants = b.column(0).to_numpy(), b.column(3)
             for i, t in enumerate(texts_of(b)):
                 w = Windows(split_words(t), window, seed)
                 own = np.sort(np.asarray(wants[i].values.to_numpy(zero_copy_only=False)).view(np.uint64))
+                if not own.size or not w.starts.size:
+                    continue
                 at = np.searchsorted(own, w.seeds)
                 take = np.flatnonzero(own[np.minimum(at, own.size - 1)] == w.seeds)
                 if take.size:
-                    h, edge = w.window_hashes(take)
-                    for column, v in zip(columns, (w.seeds[take], w.run_hashes(take), w.starts[take], w.ends[take] - w.starts[take], np.full(take.size, rids[i]), h), strict=True):
+                    run = w.run_hashes(take)
+                    for column, v in zip(columns, (w.seeds[take], run, w.starts[take], w.ends[take] - w.starts[take], np.full(take.size, rids[i])), strict=True):
                         column.append(v)
-                    edges.append(edge[1:] + base)
-                    base += edge[-1]
+                    if len(told) > TOLD:
+                        told.clear()
+                    for h, p in zip(run.tolist(), w.pieces(take), strict=True):  # a task tells a run's words once
+                        pieces.append(None if h in told else p)
+                        told.add(h)
                     row.append(np.full(take.size, i))
             if row:
-                seed_, run, start, size, rid, h = (np.concatenate(c) for c in columns)
+                seed_, run, start, size, rid = (np.concatenate(c) for c in columns)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed_.view(np.int64)), pa.array(run.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rid.astype(np.int64)), b.column(1).take(pa.array(np.concatenate(row))),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate(edges).astype(np.int32)), pa.array(h.view(np.int64)))],
-                    names=["seed", "run", "start", "size", "rid", "id", "windows"],
+                    [pa.array(seed_.view(np.int64)), pa.array(run.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rid.astype(np.int64)), b.column(1).take(pa.array(np.concatenate(row))), pa.array(pieces, pa.binary())],
+                    names=["seed", "run", "start", "size", "rid", "id", "words"],
                 )
 
-    schema = f"seed long, run long, start int, size int, rid long, id {kind}, windows array<long>"
-    placed_runs = cut(placed.select("rid", "id", "text", "seeds").mapInArrow(runs, schema), "runs")
+    schema = f"seed long, run long, start int, size int, rid long, id {kind}, words binary"
+    placed_runs = cut(map_batches(placed.select("rid", "id", "text", "seeds"), runs, schema), "runs")
     different = cut(placed_runs.groupBy("seed", "run").agg(F.count("*").alias("copies")), "different")
-    several = different.groupBy("seed").agg(F.count("*").alias("runs"), F.sum("copies").alias("c")).where("runs > 1").select("seed", "c")
-    first = _salted_semi(placed_runs.select("seed", "run", "windows", "rid"), several, ["seed"]).select("seed", "run", "windows").dropDuplicates(["seed", "run"])
-    single = first.join(different, ["seed", "run"]).select("seed", "run", "copies", F.posexplode("windows").alias("k", "w"))
+    several = different.groupBy("seed").agg(F.count("*").alias("runs"), F.sum("copies").alias("c")).where("runs > 1")
+    told = placed_runs.where("words is not null").select("seed", "run", "words", "rid")
+    pieces = salted_join(told, cut(several, "several"), ["seed"], "rid").dropDuplicates(["seed", "run"]).select("seed", "run", "words", "runs").join(different, ["seed", "run"])
+    pieces = cut(pieces, "pieces")
+
+    def parse(batches):
+        at_once: list = []
+        words = 0
+        for t, _ in key_groups(batches, 0):
+            at_once.append(t)
+            words += t.column(2).nbytes // 4
+            if words >= BLOCK_WORDS:
+                yield from _parsed(pa.concat_tables(at_once), window)
+                at_once, words = [], 0
+        if at_once:
+            yield from _parsed(pa.concat_tables(at_once), window)
+
+    blocks = pieces.where(F.col("runs") <= PIECES).select("seed", "run", "words", "copies").repartition("seed").sortWithinPartitions("seed")
+    factored = map_batches(blocks, parse, "seed long, run long, mask long")
+
+    def single_windows(batches):
+        for b in slices(batches):
+            if b.num_rows:
+                hashes, sizes = [], []
+                for p in b.column(2).to_pylist():
+                    h = mix(np.frombuffer(p, np.uint32).astype(np.uint64))
+                    up, down = _powers(h.size)
+                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:-1])))
+                    m = h.size - window + 1
+                    hashes.append(mix((sums[window:] - sums[:m]) * down[:m]))
+                    sizes.append(m)
+                take = np.repeat(np.arange(b.num_rows), sizes)
+                k = np.concatenate([np.arange(m) for m in sizes])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(take)) for i in (0, 1, 3)), pa.array(k.astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], names=["seed", "run", "copies", "k", "w"])
+
+    # a seed with more different runs than a block takes: window by window, which needs no group in one place
+    single = map_batches(pieces.where(F.col("runs") > PIECES).select("seed", "run", "words", "copies"), single_windows, "seed long, run long, copies long, k int, w long")
     equal = single.groupBy("seed", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("seed", "w")
-    at_boundary = single.where("copies = 1").join(equal, ["seed", "w"], "left_semi").groupBy("seed", "run").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("mask"), F.lit(1).cast("long").alias("c"))
+    one_by_one = single.where("copies = 1").join(equal, ["seed", "w"], "left_semi").groupBy("seed", "run").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("mask"))
+    boundary = factored.unionByName(one_by_one).select("seed", "run", "mask", F.lit(1).cast("long").alias("c"))
     whole = different.where("copies > 1").select("seed", "run", F.lit(-1).cast("long").alias("mask"), F.col("copies").alias("c"))
-    masks = cut(whole.unionByName(at_boundary), "masks")
-    matched = _salted_join(placed_runs.select("seed", "run", "start", "size", "rid", "id"), masks, ["seed", "run"])
-    return matched.groupBy("rid").agg(F.collect_list(F.struct("id", "start", "size", "mask")).alias("runs")), keyed
-
-
-HOT, SALTS = 1000, 64
-
-
-def _salt(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Deal the rows of heavy keys over salts.  A key is heavy if it has over a thousandth of all rows (column c of the
-    keys), so there are fewer than a thousand of them, however large the table is."""
-    total = keys.agg(F.sum("c")).first()[0] or 0
-    heavy = [r[on[-1]] for r in keys.where(F.col("c") > max(total // HOT, 2000)).select(on[-1]).collect()]
-    spread = F.col(on[-1]).isin(heavy) if heavy else F.lit(False)
-    salted = rows.withColumn("salt", F.when(spread, F.pmod(F.col("rid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    copied = keys.withColumn("salt", F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return salted, copied.drop("c")
-
-
-def _salted_semi(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    a, b = _salt(rows, keys, on)
-    return a.join(b, [*on, "salt"], "left_semi").drop("salt")
+    masks = cut(whole.unionByName(boundary), "masks")
+    matched = salted_join(placed_runs.select("seed", "run", "start", "size", "rid", "id"), masks, ["seed", "run"], "rid")
+    return matched.groupBy("rid").agg(F.collect_set(F.struct("id", "start", "size", "mask")).alias("runs")), dealt, heavy
 
 
-def _salted_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    a, b = _salt(rows, keys, on)
-    return a.join(b, [*on, "salt"]).drop("salt")
+def _parsed(block: pa.Table, window: int):
+    """(seed, run, mask) of the block's pieces that stand once and have windows that stand elsewhere too."""
+    single = np.flatnonzero(block.column(3).to_numpy() == 1)
+    if not single.size:
+        return
+    masks = Reference([np.frombuffer(p, np.uint32) for p in block.column(2).to_pylist()]).repeated(single, window)
+    hit = [i for i, m in enumerate(masks) if m]
+    if hit:
+        at = pa.array(single[hit])
+        yield pa.RecordBatch.from_arrays([block.column(0).combine_chunks().take(at), block.column(1).combine_chunks().take(at), pa.array([masks[i] for i in hit], pa.int64())], names=["seed", "run", "mask"])
 
 
 def removed_words(n_words: int, starts, sizes, masks, window: int = WINDOW) -> np.ndarray:
@@ -194,8 +296,8 @@ def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if window - seed + 1 > 62:
         raise ValueError("a run's mask holds at most 62 windows")
     kind = dict(docs.dtypes)[id_col]
-    found, keyed = duplicate_spans(docs, id_col=id_col, text_col=text_col, window=window, seed=seed, carry=carry)
-    joined = keyed.join(found, "rid", "left").select("rid", "id", "text", "runs", *carry)
+    found, dealt, heavy = duplicate_spans(docs, id_col=id_col, text_col=text_col, window=window, seed=seed, carry=carry)
+    joined = dealt.join(over_salts(found, "rid", heavy), ["rid", "salt"], "left").select("rid", "id", "text", "runs", *carry)
     kinds = dict(joined.dtypes)
 
     def finish(batches):
@@ -221,4 +323,4 @@ def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             )
 
     tail = "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return joined.mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, {'kept' if keep else 'kept_sha256'} string{tail}")
+    return map_batches(joined, finish, f"`{id_col}` {kind}, n_words long, n_removed long, {'kept' if keep else 'kept_sha256'} string{tail}")

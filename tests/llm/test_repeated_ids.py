@@ -14,3 +14,12 @@ def test_texts_under_one_id_stay_apart(spark):
     assert {(3, near(a)), (5, b), (9, e), (None, prose(150, 6))} <= got
     assert (5, a) not in got and (None, near(e)) not in got
     assert ((None, c) in got) != ((None, near(c)) in got) and len(got) == 5
+
+
+def test_substrings_of_rows_that_look_alike(spark):
+    from mnemospark.llm.substring_dedup import remove_duplicates
+
+    p = prose(60, 8)
+    rows = [("5", None), (None, "5"), (None, p), (None, p), ("5", p), ("5", p + " tail"), (p, None), (None, prose(50, 9))]
+    got = sorted((r.n_words, r.n_removed) for r in remove_duplicates(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect())
+    assert got == sorted([(0, 0), (1, 0), *[(60, 60)] * 3, (61, 60), (0, 0), (50, 0)])
