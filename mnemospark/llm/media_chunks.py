@@ -1,15 +1,23 @@
 """Media columns kept as content-defined chunks.
 
 A payload is stored as 8-bit mono samples in a RIFF/WAVE file.  The file is cut where a rolling gear hash over the last
-32 bytes has its top bits zero, so equal stretches are cut alike wherever they stand.  Chunk digests (no bytes) are
-joined over all documents: a chunk that occurs once stays with its document, one that occurs more often is kept once,
-by its first owner, and every document has an ordered list of its chunks.  A file is read back by putting its chunks
-in order; its length and SHA-256 digest are verified before anything is computed from it.
-
-Only digests, the documents' texts (once) and the bytes of repeated chunks move between machines.  A chunk that a third
-of all documents share is one row per task in the aggregate, and its bytes are dealt by salted digest.
-
-Defined results: a null text is empty, its payload is 192 spaces; repeated rows are returned each; null ids are kept.
+32 bytes has its top bits zero, so equal stretches are cut alike wherever they stand.  The store holds every distinct
+chunk once, and for every file the ordered list of its chunks' digests; files are read back from these alone.
+
+1. Chunk digests (no bytes) are counted over all documents.  Those that occur more than once are marked in a Bloom filter
+   of fixed size, which is broadcast.
+2. What the filter doesn't know occurs once: such chunks are stored where their file's list is written, as one compressed
+   pack beside it.  Texts don't move for this.
+3. The other chunks are deduplicated by digest in a shuffle and stored in a table of their own.  A chunk that the filter
+   takes for repeated by mistake is stored there as well; a filter that is too full costs shuffled bytes, nothing else.
+4. Files whose chunks all lie beside their list are read in place.  The others ask for their chunks by digest; files
+   that are equal are read once, and their columns go to all of their rows.
+
+Every chunk read back must have the digest that the list names, and the file its length and SHA-256 digest, before
+anything is computed from it.  Digests asked for by very many files, and files of very many rows, are dealt over salts.
+
+Defined results: a null text is empty, its payload is 192 spaces; repeated rows are returned each; null ids are kept,
+and tell nothing apart: files are named by the 128-bit digest of their text.
 """
 
 from __future__ import annotations
@@ -20,15 +28,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, texts_of
+from .common import cut, deal, heavy_keys, map_batches, mix, over_salts, salted_join, slices, texts_of
 
 UNIT, RATE = 192, 8000
 LEAST, MOST, MEAN_BITS = 256, 8192, 10
-#: A repeated chunk with more uses than this is dealt over several salts, at most SALTS.
-USES, SALTS = 500, 64
+DIGEST = 20
+#: Bits of the filter of repeated chunks (8 MB, whatever the table's size) and bits set for each of them.
+FILTER_BITS, FILTER_MARKS = 1 << 26, 3
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -76,7 +86,7 @@ def chunks(media: bytes) -> list[bytes]:
 
 
 def digest(chunk: bytes) -> bytes:
-    return hashlib.sha256(chunk).digest()[:20]
+    return hashlib.sha256(chunk).digest()[:DIGEST]
 
 
 def features(samples: bytes) -> str:
@@ -91,112 +101,171 @@ def features(samples: bytes) -> str:
     return f"mean={total / n:.3f};dev={max(squares / n - (total / n) ** 2, 0) ** 0.5:.3f};cross={int((above[1:] != above[:-1]).sum())};entropy={float(-(p * np.log2(p)).sum()):.4f}"
 
 
-def _batch(names: list[str], kinds: list, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def file_name(text: str) -> bytes:
+    """The name of a text's file."""
+    return xxhash.xxh3_128_digest(text.encode())
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id, packed): rid is a hash of id and text; the text travels compressed."""
-    kind = dict(docs.dtypes)[id_col]
+def marks(digests: list[bytes], bits: int) -> np.ndarray:
+    """Which of a filter's bits (row by digest) stand for the digests."""
+    h = np.ascontiguousarray(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST)[:, :16]).view("<u8")
+    return np.stack([(h[:, 0] + np.uint64(k) * (h[:, 1] | np.uint64(1))) & np.uint64(bits - 1) for k in range(FILTER_MARKS)], axis=1).astype(np.int64)
 
-    def pack(batches):
-        import zstandard
 
-        z = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+def files(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{text_col}`").alias("text"))
+
+
+def repeated_filter(docs: DataFrame, text_col: str, filter_bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of ``filter_bits`` (a power of two, 64 at least), as 64-bit words, with the digests of all chunks that occur more than once."""
+
+    def count(batches):
         for b in slices(batches):
+            seen: dict[bytes, int] = {}
+            for t in texts_of(b):
+                for c in chunks(to_wave(payload(t))):
+                    d = digest(c)
+                    seen[d] = seen.get(d, 0) + 1
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array(seen.values(), pa.int64())], names=["digest", "c"])
+
+    def bits(batches):
+        own: dict[int, int] = {}
+        for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode()) for t in texts_of(b)], pa.binary())], names=["rid", "id", "packed"])
-
-    hashed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
-    return docs.select(hashed.alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(pack, f"rid long, id {kind}, packed binary")
+                for i in np.unique(marks(b.column(0).to_pylist(), filter_bits)).tolist():
+                    own[i >> 6] = own.get(i >> 6, 0) | 1 << (i & 63)
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(np.array(list(own.values()), np.uint64).view(np.int64))], names=["at", "bits"])
+
+    counted = map_batches(files(docs, text_col), count, "digest binary, c long").groupBy("digest").agg(F.sum("c").alias("c")).where("c > 1").select("digest")
+    got = map_batches(counted, bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # filter_bits / 64 rows at most
+    out = np.zeros(filter_bits // 64, np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
 
 
-def unpack(column) -> list[str]:
-    import zstandard
+def maybe_repeated(known: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    """Whether the filter holds the digests; never false for one that occurs twice."""
+    at = marks(digests, known.size * 64)
+    return ((known[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
-    z = zstandard.ZstdDecompressor()
-    return [z.decompress(x).decode() for x in column.to_pylist()]
 
+def store_files(docs: DataFrame, known, *, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, file, n_bytes, the file's length, SHA-256 and ordered digests, which of its chunks lie in
+    the shared table (their positions), and its other chunks as a compressed pack with their lengths."""
+    kind = dict(docs.dtypes)[id_col]
 
-def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, rid, pos): the ordered chunk list of every document's media."""
-    hashed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
+    def run(batches):
+        import zstandard
 
-    def digests(batches):
+        z = zstandard.ZstdCompressor(level=6)
+        names = ["id", "file", "n_bytes", "size", "sha", "digests", "shared", "pack", "lengths"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32())]
         for b in slices(batches):
             if b.num_rows:
-                who, what, pos = [], [], []
-                for r, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
-                    own = [digest(c) for c in chunks(to_wave(payload(t)))]
-                    what += own
-                    who += [r] * len(own)
-                    pos += range(len(own))
-                yield _batch(["digest", "rid", "pos"], [pa.binary(), pa.int64(), pa.int32()], [what, who, pos])
-
-    return docs.select(hashed.alias("rid"), F.col(f"`{text_col}`").alias("text")).mapInArrow(digests, "digest binary, rid long, pos int")
+                columns: list[list] = [[] for _ in kinds]
+                for t in texts_of(b):
+                    media = to_wave(payload(t))
+                    parts = chunks(media)
+                    listed = [digest(c) for c in parts]
+                    common = maybe_repeated(known.value, listed)
+                    own = [c for c, s in zip(parts, common.tolist(), strict=True) if not s]
+                    row = (file_name(t), len(t.encode()), len(media), hashlib.sha256(media).digest(), b"".join(listed), np.flatnonzero(common).tolist(), z.compress(b"".join(own)) if own else None, [len(c) for c in own])
+                    for column, v in zip(columns, row, strict=True):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
+    schema = f"id {kind}, file binary, n_bytes long, size long, sha binary, digests binary, shared array<int>, pack binary, lengths array<int>"
+    return map_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text")), run, schema)
 
-def repeated_chunks(lists: DataFrame) -> DataFrame:
-    """(digest, owner, salts): the chunks that occur more than once; one used very often is dealt over several salts."""
-    counted = lists.groupBy("digest").agg(F.count("*").alias("c"), F.min(F.struct("rid", "pos")).alias("owner")).where("c > 1")
-    return counted.select("digest", "owner", F.least(F.ceil(F.col("c") / USES), F.lit(SALTS)).cast("int").alias("salts"))
 
+def shared_chunks(docs: DataFrame, known, *, text_col: str) -> DataFrame:
+    """(digest, bytes): each chunk that the filter knows, once; bytes are compressed."""
 
-def chunk_store(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(digest, salts, bytes): each repeated chunk once, taken from its owner."""
-    owned = repeated.groupBy("owner.rid").agg(F.collect_list(F.struct("owner.pos", "digest", "salts")).alias("gives"))
+    def run(batches):
+        import zstandard
 
-    def take(batches):
+        z = zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
-            if b.num_rows:
-                rows: list[list] = [[], [], []]
-                for t, gives in zip(unpack(b.column(0)), b.column(1).to_pylist(), strict=True):
-                    own = chunks(to_wave(payload(t))) if gives else []
-                    for g in gives or ():
-                        if g["pos"] < len(own) and digest(own[g["pos"]]) == g["digest"]:
-                            for column, v in zip(rows, (g["digest"], g["salts"], own[g["pos"]]), strict=True):
-                                column.append(v)
-                yield _batch(["digest", "salts", "bytes"], [pa.binary(), pa.int32(), pa.binary()], rows)
+            found: dict[bytes, bytes] = {}
+            for t in texts_of(b):
+                parts = chunks(to_wave(payload(t)))
+                listed = [digest(c) for c in parts]
+                for i in np.flatnonzero(maybe_repeated(known.value, listed)).tolist():
+                    if listed[i] not in found:
+                        found[listed[i]] = z.compress(parts[i])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "bytes"])
 
-    # a left join that reads all columns, like the last one, so that both share one exchange of the texts
-    got = keyed.join(owned, "rid", "left").select("packed", "gives", "rid", "id").mapInArrow(take, "digest binary, salts int, bytes binary")
-    return got.dropDuplicates(["digest"])  # an owner's row may be repeated
+    return map_batches(files(docs, text_col), run, "digest binary, bytes binary").dropDuplicates(["digest"])
 
 
-def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as media in chunks, read each back, verify it and compute its columns.
+_COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
-    A document keeps the chunks that are its own; the others are null in its list until the store fills them in.
-    """
-    kind = dict(docs.dtypes)[id_col]
-    keyed = keyed_texts(docs, id_col, text_col)
-    lists = chunk_lists(docs, id_col=id_col, text_col=text_col)
-    repeated = repeated_chunks(lists)
-    asked = lists.join(repeated, "digest").where("owner.rid <> rid or owner.pos <> pos").select("rid", "pos", "digest", F.pmod(F.xxhash64("rid", "pos"), F.col("salts")).cast("int").alias("salt")).distinct()
-    store = chunk_store(keyed, repeated).select("digest", "bytes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    fetched = asked.join(store, ["digest", "salt"]).groupBy("rid").agg(F.collect_list(F.struct("pos", "bytes")).alias("fetched"))
-    missing = asked.groupBy("rid").agg(F.count("*").alias("n_shared"))
-
-    def read(batches):
-        names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks", "n_shared"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        for b in slices(batches):
-            if b.num_rows:
-                out: list[list] = [[] for _ in kinds]
-                for t, shared, wanted in zip(unpack(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    whole = to_wave(payload(t))
-                    size, sha = len(whole), hashlib.sha256(whole).hexdigest()
-                    parts: list[bytes] = chunks(whole)
-                    for x in shared or ():
-                        parts[x["pos"]] = x["bytes"]
-                    media = b"".join(parts)
-                    if len(shared or ()) != (wanted or 0) or len(media) != size or hashlib.sha256(media).hexdigest() != sha:
-                        raise ValueError("stored media do not match their list and digest")
-                    p = from_wave(media)
-                    row = (len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), size, sha, features(p), len(parts), len(shared or ()))
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
 
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_shared long"
-    return keyed.join(fetched, "rid", "left").join(missing, "rid", "left").select("id", "packed", "fetched", "n_shared", "rid").mapInArrow(read, schema)
+def rebuilt(size: int, sha: bytes, digests: bytes, shared: list[int], pack: bytes | None, lengths: list[int], fetched: dict[int, bytes]) -> bytes:
+    """A file from its list, its pack and its shared chunks by position; raises where anything stored is not what the list says."""
+    import zstandard
+
+    own = zstandard.ZstdDecompressor().decompress(pack, max_output_size=sum(lengths)) if pack else b""
+    ends = np.cumsum(lengths).tolist()
+    mine = iter([own[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    taken = set(shared)
+    parts = []
+    for i in range(len(digests) // DIGEST):
+        part = fetched.get(i, b"") if i in taken else next(mine)
+        if digest(part) != digests[i * DIGEST : (i + 1) * DIGEST]:
+            raise ValueError("a stored chunk does not have its digest")
+        parts.append(part)
+    media = b"".join(parts)
+    if len(media) != size or hashlib.sha256(media).digest() != sha:
+        raise ValueError("stored media do not match their list")
+    return media
+
+
+def _computed(media: bytes, n_chunks: int) -> tuple:
+    p = from_wave(media)
+    return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(p), n_chunks
+
+
+def _read(batches, first: int, fetched: bool):
+    """Columns computed from files read back; ``first`` columns in front pass through, fetched chunks come last."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    for b in slices(batches):
+        if b.num_rows:
+            columns: list[list] = [[] for _ in _KINDS]
+            for row in zip(*(b.column(first + k).to_pylist() for k in range(6 + fetched)), strict=True):
+                got = {x["pos"]: z.decompress(x["bytes"]) for x in row[6] or ()} if fetched else {}
+                for column, v in zip(columns, _computed(rebuilt(*row[:6], got), len(row[2]) // DIGEST), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(first)), *(pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True))], names=[*b.schema.names[:first], *(x.split()[0] for x in _COLUMNS.split(", "))])
+
+
+def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """Store every text as media in chunks, read each back, verify it and compute its columns."""
+    kind = dict(docs.dtypes)[id_col]
+    known = docs.sparkSession.sparkContext.broadcast(repeated_filter(docs, text_col, filter_bits))
+    lists = cut(store_files(docs, known, id_col=id_col, text_col=text_col), "media")
+    store = cut(shared_chunks(docs, known, text_col=text_col), "chunks")
+    known.unpersist()
+    stored = ["size", "sha", "digests", "shared", "pack", "lengths"]
+
+    alone = lists.where(F.size("shared") == 0).select("id", "n_bytes", *stored)
+    in_place = map_batches(alone, lambda batches: _read(batches, 2, False), f"id {kind}, n_bytes long, {_COLUMNS}")
+
+    sharing = lists.where(F.size("shared") > 0)
+    places = sharing.select("file", F.posexplode(F.expr(f"transform(shared, p -> named_struct('pos', p, 'digest', substring(digests, p * {DIGEST} + 1, {DIGEST})))")).alias("_", "x")).select("file", "x.pos", "x.digest").distinct()
+    # a file is named by its text, so equal texts are one file, whose list is any of the equal ones
+    asked = cut(places, "asked")
+    uses = asked.groupBy("digest").agg(F.count("*").alias("c"))
+    fetched = salted_join(asked, store.join(uses, "digest"), ["digest"], "file").groupBy("file").agg(F.collect_list(F.struct("pos", "bytes")).alias("fetched"))
+    once = sharing.select("file", *stored).dropDuplicates(["file"]).join(fetched, "file", "left").select("file", *stored, "fetched")
+    read = cut(map_batches(once, lambda batches: _read(batches, 1, True), f"file binary, {_COLUMNS}"), "read")
+    rows = sharing.select("id", "n_bytes", "file")
+    heavy = heavy_keys(rows.groupBy("file").agg(F.count("*").alias("c")), "file")
+    others = deal(rows, "file", heavy, F.struct("id", F.spark_partition_id())).join(over_salts(read, "file", heavy), ["file", "salt"]).drop("file", "salt")
+    return in_place.unionByName(others).withColumnRenamed("id", id_col)

@@ -548,5 +548,4 @@ def test_media_round_trip(spark, awkward, empty):
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
             assert r.media_bytes == len(p) + 44
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
-    assert any(r.n_shared for r in rows)
     assert media_chunks.media_features(empty).count() == 0
