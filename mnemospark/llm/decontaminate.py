@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import map_batches, slices, texts_of
 
 K1, B = 1.2, 0.75
 LEAST, BLOCK, GROUPS = 8, 4, 64
+#: Words as they are written whose numbers a worker remembers.
+SEEN = 50_000
 _SPLIT = re.compile(r"(?is)^(.*?)(?:\banswer\s*:|\ba\s*:(?=\s)|(?<=\?))\s*(\S.*)$")
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$|-_/\\`~^=+"
@@ -91,7 +93,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_length: float, longest: int):
         self.longest = longest
         self.vocabulary: dict[str, int] = {}
-        self.names, self.parts = [], []
+        self.names, self.parts, self.lengths = [], [], []
         lists: list[list[tuple[int, float]]] = []
         #: items of few words, by their term numbers
         self.short: dict[tuple[int, ...], list] = {}
@@ -111,6 +113,7 @@ class Index:
             total = sum(weight.values())
             d = len(self.names)
             self.names.append(name)
+            self.lengths.append(len(t))
             for x, w in weight.items():
                 k = self.vocabulary.setdefault(x, len(self.vocabulary))
                 if k == len(lists):
@@ -140,7 +143,7 @@ class Index:
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Term numbers; -1 for a word outside the index, -2 for one that is punctuation only."""
-        if len(self.seen) > 400_000:
+        if len(self.seen) > SEEN:
             self.seen.clear()
         return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
 
@@ -200,13 +203,16 @@ class Index:
         return [(name, a, len(x), 1.0, 1.0, 1.0) for x, a in found.items() for name in self.short.get(x, ())]
 
     def matches(self, text: str, threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
-        """(item, first word, words, score, question overlap, answer overlap): the best verified passage of each item."""
+        """(item, first word, words, score, question overlap, answer overlap): the best verified place of each item.
+
+        Words are those of ``split``, from 0, with those that are punctuation only."""
         k = self.ids(split(text))
-        k = k[k > -2]
+        place = np.flatnonzero(k > -2)
+        k = k[place]
         inside = np.flatnonzero(k >= 0)
         if not inside.size:
             return []
-        whole = self.whole(k)
+        whole = [(name, int(place[a]), int(place[a + n - 1] - place[a]) + 1, *rest) for name, a, n, *rest in self.whole(k)]
         if not self.names:
             return whole
         size = 2 * self.longest
@@ -229,9 +235,25 @@ class Index:
                     oq = len(q & seen) / len(q) if q else 1.0
                     ow = self._overlap(w, seen, passage) if w else 1.0
                     if oq >= overlap and ow >= overlap and (d not in best or (oq + ow, score) > (best[d][4] + best[d][5], best[d][3])):
-                        best[d] = (self.names[d], a, z - a, score, oq, ow)
+                        at, n = self._place(passage, q | w, self.lengths[d])
+                        best[d] = (self.names[d], int(place[a + at]), int(place[a + at + n - 1] - place[a + at]) + 1, score, oq, ow)
         return [*best.values(), *whole]
 
+    @staticmethod
+    def _place(passage: np.ndarray, grams: set, length: int) -> tuple[int, int]:
+        """(first, words): the stretch of the item's length that holds most of its word groups, from the first to the last of them."""
+        p = passage.tolist()
+        n = max(map(len, grams))
+        hit = np.array([tuple(p[i : i + n]) in grams for i in range(len(p) - n + 1)], bool)
+        if not hit.any():
+            return 0, len(p)
+        wide = max(1, length - n + 1)
+        sums = np.concatenate(([0], np.cumsum(hit)))
+        starts = np.arange(hit.size)
+        best = int(np.argmax(sums[np.minimum(starts + wide, hit.size)] - sums[starts]))
+        inside = np.flatnonzero(hit[best : best + wide]) + best
+        return int(inside[0]), int(inside[-1] - inside[0]) + n
+
     @staticmethod
     def _overlap(grams: set, seen: set, passage: np.ndarray) -> float:
         n = len(next(iter(grams)))
@@ -252,7 +274,7 @@ def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.string()))], names=["item", "n", "terms"])
 
     kind = dict(usable.dtypes)["item"]
-    listed = usable.mapInArrow(tokens, f"item {kind}, n long, terms array<string>").where("n > 0")
+    listed = map_batches(usable, tokens, f"item {kind}, n long, terms array<string>").where("n > 0")
     every, n, mean, longest = listed.agg(F.count("*"), F.count_if(F.col("n") >= LEAST), F.avg(F.when(F.col("n") >= LEAST, F.col("n"))), F.max("n")).first()
     if not every:
         return
@@ -291,7 +313,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
                     columns = [pa.array(c, x if j else None) for j, (c, x) in enumerate(zip(zip(*rows, strict=True), kinds, strict=True))]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *columns], names=[id_col, "item_id", "first_word", "n_words", "score", "question_overlap", "answer_overlap"])
 
-        found = texts.mapInArrow(run, schema)
+        found = map_batches(texts, run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -308,5 +330,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "
                 if b.num_rows:
                     yield b.filter(pa.array([not own.matches(t or "", threshold, overlap) for t in b.column(place).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

@@ -16,3 +16,12 @@ def test_short_and_unspaced_items_are_found(spark):
         assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, block_bytes=block).collect()} == WANT
     few = items.where("item_id <> 5 and item_id <> 1")
     assert {r.doc_id for r in decontaminate.without_contaminated(docs, few).collect()} == {1, 2, 4, 6}
+
+
+def test_places_are_those_of_the_item(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    text = "- – " + " ".join(f"x{k}" for k in range(40)) + " ... " + item.replace("word9", "word9 --") + " " + " ".join(f"y{k}" for k in range(90))
+    short = "*** one !! two name the smallest prime"
+    docs = spark.createDataFrame([(1, text), (2, short)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words) for r in decontaminate.contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+    assert got == {(1, 5): (43, 21), (2, 0): (4, 4), (2, 3): (4, 4)}
