@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT_BYTES, slices
+from .common import BROADCAST_LIMIT_BYTES, cut, map_batches, slices
 
-LEAST, SHARE = 5, 0.9
+LEAST, SHARE, NAME_WORDS = 5, 0.9, 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
@@ -43,7 +43,8 @@ NOISE_NAMES = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, so that a name inside another one's value is no attribute.
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
@@ -56,19 +57,23 @@ class Node:
 
 @functools.lru_cache(20_000)
 def _marked(attrs: str) -> int:
-    """0, or 1 if names mark an element as no content, or 2 if they mark a header, which inside an article is kept."""
+    """0, or 1 if names mark an element as no content, or 2 if they mark a header, which inside an article is kept.
+
+    A class or id of more than ``NAME_WORDS`` words is a sentence, such as a heading's anchor, and names no part of a page."""
     out = 0
     for name, *values in _ATTR.findall(attrs):
-        value = "".join(values)
+        value = html.unescape("".join(values))
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in NOISE_ROLES:
             return 1
         if name in ("class", "id"):
-            parts = {p.lower() for p in _NAME.findall(value)}
-            if parts & NOISE_NAMES:
-                return 1
-            if "header" in parts:
-                out = 2
+            for token in value.split():
+                parts = [p.lower() for p in _NAME.findall(token) if not p.isdigit()]
+                if len(parts) <= NAME_WORDS:
+                    if not NOISE_NAMES.isdisjoint(parts):
+                        return 1
+                    if "header" in parts:
+                        out = 2
     return out
 
 
@@ -359,7 +364,7 @@ def reference_pages(pages: DataFrame) -> DataFrame:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, reference, constant): the reference page and the sorted indexes of its constant text nodes."""
-    refs = reference_pages(pages)
+    refs = cut(reference_pages(pages), "references")
 
     def align(batches):
         for b in slices(batches):
@@ -371,7 +376,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(seen.values(), pa.int64())], names=["host", "node", "same"])
 
     joined = pages.where("html is not null").select("host", "html").join(_checked(refs.drop("pages")), "host")
-    same = joined.select("host", "html", "reference").mapInArrow(align, "host string, node int, same long").groupBy("host", "node").agg(F.sum("same").alias("same"))
+    same = map_batches(joined.select("host", "html", "reference"), align, "host string, node int, same long").groupBy("host", "node").agg(F.sum("same").alias("same"))
     constant = same.join(refs.select("host", "pages"), "host").where(F.col("same") >= F.col("pages") * SHARE).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
     return refs.drop("pages").join(constant, "host", "left")
 
@@ -387,7 +392,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     base = pages.select("page_id", "url", "html", host.alias("host"))
-    rules = wrappers(base)
+    rules = cut(wrappers(base), "wrappers")
 
     def run(batches):
         for b in slices(batches):
@@ -400,4 +405,4 @@ def extract(pages: DataFrame) -> DataFrame:
                     texts.append(main_text(page or "", refs[i], sets.setdefault(hash(own), own)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return base.join(_checked(rules), "host", "left").select("page_id", "url", "html", "reference", "constant").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(base.join(_checked(rules), "host", "left").select("page_id", "url", "html", "reference", "constant"), run, f"page_id {kind}, url string, text string, n_chars long")
