@@ -23,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import map_batches, slices, texts_of
 
 BUCKETS, WIDTH = 1 << 16, 24
-_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"\S+")
 
 
+def has_letter(word: str) -> bool:
+    """Whether the word has a letter; number characters such as a superscript two or a Roman eight are none."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def _ids(chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Feature ids of words given as padded rows of code points; 0 where a feature doesn't exist."""
     m, width = chars.shape
@@ -96,11 +100,11 @@ class Chain:
             j = self.lexicon.get(w)
             if j is not None:
                 out[i] += self.own[j]
-        letters = np.array([_LETTER.search(w) is not None for w in lowered], bool)
+        letters = np.array([has_letter(w) for w in lowered], bool)
         out[~letters] = 0
         return out, letters
 
-    def lookup(self, texts: list[list[str]], bound: int = 400_000) -> list[np.ndarray]:
+    def lookup(self, texts: list[list[str]], bound: int = 200_000) -> list[np.ndarray]:
         """Word indexes of each text; new words are scored together, and forgotten when there are too many."""
         if len(self.known) > bound:
             self.known, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
@@ -200,7 +204,7 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 2, piece: int = 16, batc
     counts = np.bincount(np.concatenate(seq), minlength=len(names))
     lexicon = {names[i]: j for j, i in enumerate(np.flatnonzero(counts >= lexicon_least).tolist())}
     own_of = np.array([lexicon.get(w, len(lexicon)) for w in names])
-    lettered = np.array([_LETTER.search(w) is not None for w in names])
+    lettered = np.array([has_letter(w) for w in names])
     feats = word_features(names)
     wide = max(f.shape[1] for _, f in feats)
     ids = np.zeros((len(names), wide), np.int32)
@@ -291,4 +295,4 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     picked = docs.select(F.col(f"`{id_col}`"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return map_batches(picked, run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
