@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, slices, texts_of
+from .common import broadcast_if_small, cut, map_batches, slices, texts_of
 
 PAD = "\n"  # stands before a text; cannot occur in a normalised one
 #: Rows of the model in one broadcast shard; bytes of text whose n-grams are counted at once.
@@ -99,7 +99,7 @@ def gram_counts(trusted: DataFrame, order: int, text_col: str = "text") -> DataF
                 grams, counts = count_grams([normalise(t) for t in texts_of(b)], order)
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["g", "c"])
 
-    return trusted.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return map_batches(trusted.select(F.col(f"`{text_col}`").alias("text")), run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(level: DataFrame) -> tuple[float, float, float]:
@@ -317,7 +317,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, text_col: str = "text",
                 values = [pa.array(keys), pa.array(score), pa.array(sizes, pa.int64()), pa.array(worst, mask=np.isneginf(worst)), words]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), *values], names=[*carry, "_text", "_score", "_chars", "_worst", "_words"])
 
-        parts.append(picked.mapInArrow(run, schema))
+        parts.append(map_batches(picked, run, schema))
     out = parts[0]
     if len(parts) > 1:
         # rows that repeat are one in each shard, and every row is returned
