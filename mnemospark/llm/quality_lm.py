@@ -279,8 +279,10 @@ def shards(tables: list[tuple[DataFrame, DataFrame | None]], order: int, shard_r
         yield Shard(order, k, n, grams, contexts)
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, *, text_col: str = "text", order: int = 4, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame | None:
-    """``carry`` columns, the log perplexity (null for blank texts), the second worst word's and the characters of every row; None without trusted text."""
+def perplexities(docs: DataFrame, trusted: DataFrame, *, text_col: str = "text", order: int = 4, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = (), held: list | None = None) -> DataFrame | None:
+    """``held`` gets the shards' broadcasts, to be destroyed once the result is written.
+
+    ``carry`` columns, the log perplexity (null for blank texts), the second worst word's and the characters of every row; None without trusted text."""
     counts = cut(gram_counts(trusted, order, text_col), "grams")
     if counts.isEmpty():
         return None
@@ -290,6 +292,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, *, text_col: str = "text",
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", _text long, _score double, _chars long, _worst double, _words array<float>"
     for shard in shards(model_tables(counts, order), order, shard_rows):
         shared = spark.sparkContext.broadcast(shard)
+        if held is not None:
+            held.append(shared)
 
         def run(batches, shared=shared):
             own = shared.value
@@ -355,7 +359,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     slim = docs.select(*dict.fromkeys((id_col, text_col, lang_col, *carry)))
     marked = slim.join(good.withColumn("trusted", F.lit(True)), id_col, "left")
     half = F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(2))
-    dealt, spread = [], {"text_col": text_col, "order": order, "shard_rows": shard_rows, "carry": (id_col, lang_col, "trusted", *carry)}
+    held: list = []
+    dealt, spread = [], {"text_col": text_col, "order": order, "shard_rows": shard_rows, "carry": (id_col, lang_col, "trusted", *carry), "held": held}
     for k in (0, 1):
         own = marked.where(half == k)
         part = perplexities(own, marked.where("trusted").where(half != k), **spread)
@@ -365,6 +370,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         blank = F.coalesce(F.length(F.trim(F.regexp_replace(F.col(f"`{text_col}`"), r"\s+", " "))), F.lit(0)) == 0
         return docs.select(id_col, F.col(lang_col).alias("lang"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (~blank).alias("kept"), *carry)
     scored = cut(scored, "scores")
+    for shared in held:
+        shared.destroy()
     spare = F.when(F.col("chars") > 0, allowance / F.sqrt(F.greatest("chars", F.lit(1)))).otherwise(0.0)
     found = scored.withColumnRenamed(lang_col, "own_lang")
     for name, value in (("limit", F.col("log_ppl") - spare), ("word_limit", F.col("worst"))):
