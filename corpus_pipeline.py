@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), False
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if done:
+            drop_cut(docs)
+        docs, done = kept, True
     return STAGES[-1][1](spark, docs, sf_dir)

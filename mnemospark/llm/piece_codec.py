@@ -28,7 +28,7 @@ SPACE = "▁"
 class PieceCodec:
     """Exact encoder and decoder of one BPE SentencePiece model; its caches are bounded."""
 
-    def __init__(self, model_path: str, cache_segments: int = 300_000, cache_pairs: int = 1_000_000):
+    def __init__(self, model_path: str, cache_segments: int = 100_000, cache_pairs: int = 200_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
