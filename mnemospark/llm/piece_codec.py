@@ -28,7 +28,7 @@ SPACE = "▁"
 class PieceCodec:
     """Exact encoder and decoder of one BPE SentencePiece model; its caches are bounded."""
 
-    def __init__(self, model_path: str, cache_segments: int = 100_000, cache_pairs: int = 200_000):
+    def __init__(self, model_path: str, cache_segments: int = 100_000, cache_pairs: int = 300_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -65,16 +65,18 @@ class PieceCodec:
         self.reached = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
         self.words = ahocorasick.Automaton()
         for p in self.reached:
-            self.words.add_word(p, len(p))
+            self.words.add_word(p, (self.id[p], len(p)))
         self.words.make_automaton()
         self.cache_segments, self.cache_pairs = cache_segments, cache_pairs
         #: Segments met lately and before; an old one that is met again is taken over, so frequent ones stay.
         self.segments: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.packed = {p: np.array([i], "<u4").tobytes() for p, i in self.id.items()}
+        self.piece = [p.piece for p in proto.pieces]
+        self.packed = [np.array([i], "<u4").tobytes() for i in range(len(self.piece))]
         self.packed_bytes = [np.array([self.byte_id[b]], "<u4").tobytes() for b in range(256)] if len(self.byte_id) == 256 else []
         self.alphabet = frozenset(p for p in self.id if len(p) == 1)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Whether the second token may follow the first, by (first id * vocabulary + second id).
+        self.pairs: dict[int, bool] = {}
         self.prefix = np.array([self.bos], "<u4").tobytes()
         self.suffix = np.array([self.eos], "<u4").tobytes()
 
@@ -93,57 +95,60 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+    def compatible(self, a: int, b: int) -> bool:
+        key = a * len(self.piece) + b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.cache_pairs:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            x, y = self.piece[a], self.piece[b]
+            known = self.pairs[key] = self.merge(x + y) == [x, y]
         return known
 
-    def backtrack(self, s: str) -> list[str]:
-        """The pieces of a run of known characters."""
-        quick, last, pairs = [], None, self.pairs
-        for end, n in self.words.iter_long(s):  # longest matches one after another are often right
-            piece = s[end - n + 1 : end + 1]
-            if last is not None and not (pairs.get((last, piece)) or self.compatible(last, piece)):
+    def backtrack(self, s: str) -> list[int]:
+        """The ids of the pieces of a run of known characters."""
+        quick, last, pairs, size = [], -1, self.pairs, len(self.piece)
+        for _, (i, _) in self.words.iter_long(s):  # longest matches one after another are often right
+            if last >= 0 and not (pairs.get(last * size + i) or self.compatible(last, i)):
                 break
-            quick.append(piece)
-            last = piece
+            quick.append(i)
+            last = i
         else:
             return quick  # every character is a piece, so the matches leave no gap
-        longest: list[list[int]] = [[] for _ in s]
-        for end, n in self.words.iter(s):
-            longest[end - n + 1].append(n)
+        longest: list[list[tuple[int, int]]] = [[] for _ in s]
+        for end, (i, n) in self.words.iter(s):
+            longest[end - n + 1].append((n, i))
         for x in longest:
             x.sort()
         failed, out, pos, n = 0, [], 0, len(s)
         choice = len(longest[0]) - 1
-        tried = []
+        tried: list[tuple[int, int]] = []
         while pos < n:
             options = longest[pos]
             while choice >= 0:
-                size = options[choice]
-                if not failed >> (pos + size) & 1 and (not out or self.compatible(out[-1], s[pos : pos + size])):
+                wide, i = options[choice]
+                if not failed >> (pos + wide) & 1 and (not out or self.compatible(out[-1], i)):
                     break
                 choice -= 1
             if choice >= 0:
-                out.append(s[pos : pos + options[choice]])
-                tried.append(choice)
-                pos += options[choice]
+                out.append(i)
+                tried.append((choice, wide))
+                pos += wide
                 choice = len(longest[pos]) - 1 if pos < n else -1
             else:
                 if not out:
                     raise ValueError("no encoding")
                 failed |= 1 << pos
-                pos -= len(out.pop())
-                choice = tried.pop() - 1
+                out.pop()
+                choice, wide = tried.pop()
+                pos -= wide
+                choice -= 1
         return out
 
     def encode_segment(self, s: str) -> bytes:
         packed = self.packed
         if self.alphabet.issuperset(s):
-            return b"".join([packed[p] for p in self.backtrack(s)])
+            return b"".join([packed[i] for i in self.backtrack(s)])
         out: list[bytes] = []
         run = ""
         for c in s:
@@ -151,11 +156,11 @@ class PieceCodec:
                 run += c
                 continue
             if run:
-                out += [packed[p] for p in self.backtrack(run)]
+                out += [packed[i] for i in self.backtrack(run)]
                 run = ""
             out += [self.packed_bytes[b] for b in c.encode()]
         if run:
-            out += [packed[p] for p in self.backtrack(run)]
+            out += [packed[i] for i in self.backtrack(run)]
         return b"".join(out)
 
     def encode_bytes(self, text: str) -> bytes:
