@@ -347,6 +347,13 @@ def test_license_scan(spark, awkward, empty):
     assert (got[2].n_base, got[2].first_word, got[2].last_word) == (2, 1, 4)
     assert got[3].n_base == 1 and got[3].first_word == 1  # the no-break space is a word character
     assert got[4].labels == "" and 0 <= got[4].score < 1
+    texts = [t for t in license_scan.OWN if len(t.words) >= license_scan.LONG]
+    rows = [(k, "Some words. " + " ".join(t.words) + "! " + prose(30, k)) for k, t in enumerate(texts)]
+    rows += [(100 + k, " ".join(w for j, w in enumerate(t.words) if j not in t.mandatory())) for k, t in enumerate(texts)]
+    got = as_map(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k, t in enumerate(texts):
+        assert t.label in got[k].labels.split(",") and got[k].score == 1.0
+        assert t.label not in got[100 + k].labels.split(",")
 
 
 # --- quality ----------------------------------------------------------------------------------------------------------
