@@ -1,14 +1,18 @@
 """Document chunking as DataFrame expressions: fixed windows, sentences, sections, conversations, and choosing one.
 
-Documents are (doc_id, text); chunks are (doc_id, idx, title, text, content_hash).  Lines and sentences of one document
-are worked on as arrays or in windows by document, so the longest document bounds a task's memory.
+Documents are (doc_id, text); chunks are (doc_id, idx, title, text, content_hash).  Every document is worked on in its
+own row and in time linear in its length, without a shuffle; what is a state machine over its lines or sentences runs
+as a pandas UDF over Arrow batches (``chunk_text``), all else as expressions.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import chunk_text
 
 # fixed values
 MIN_BYTES, SNAP, MIN_SIZE = 30, 80, 50
@@ -34,51 +38,91 @@ def lines_of(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def fixed(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Windows of ``size`` characters that start every ``size - overlap``; an end moves to just behind the next stop
-    within 80 characters, else behind the last one within 80 before.  Trimmed windows under 30 bytes are dropped."""
+def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
+    """The windows of ``fixed`` as an array of texts.
+
+    The text is first cut into pieces of one step, so that every window is made of its next few pieces and costs the
+    same wherever it stands."""
     size = max(size, MIN_SIZE)
     overlap = min(overlap, size // 2)
     step = size - overlap
-    base = docs.select("doc_id", normalise(F.col("text")).alias("t")).withColumn("n", F.length("t"))
-    each = base.where("n > 0").select("doc_id", "t", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(step))).alias("start"))
-    end = F.least(F.col("start") + size, F.col("n"))
-    each = each.withColumn("end", end)
-    ahead = F.regexp_instr(F.substring("t", F.col("end") + 1, F.lit(SNAP)), F.lit(STOPS))
-    low = F.greatest(F.col("end") - SNAP, F.lit(0))
-    behind = F.regexp_instr(F.reverse(F.substring("t", low + 1, F.col("end") - low)), F.lit(STOPS))
-    snapped = F.when(F.col("end") >= F.col("n"), F.col("n")).when(ahead > 0, F.col("end") + ahead).when(behind > 0, F.col("end") - behind + 1).otherwise(F.col("end"))
-    each = each.withColumn("to", snapped)
-    # the first window that reaches the end is the last
-    reached = W.partitionBy("doc_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    each = each.withColumn("over", F.coalesce(F.max((F.col("to") >= F.col("n")).cast("int")).over(reached), F.lit(0))).where("over = 0")
-    cut = each.select("doc_id", "start", trim(F.substring("t", F.col("start") + 1, F.col("to") - F.col("start"))).alias("text")).where(F.octet_length("text") >= MIN_BYTES)
-    idx = F.row_number().over(W.partitionBy("doc_id").orderBy("start")) - 1
-    return cut.select("doc_id", idx.cast("int").alias("idx"), F.lit("").alias("title"), "text", content_hash(F.col("text")).alias("content_hash"))
-
-
-def sentences(text: Column) -> Column:
+    reach = -(-(size + SNAP) // step)
+    pieces_ = F.regexp_extract_all(normalise(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def windows(p: Column) -> Column:
+        n = (F.size(p) - 1) * step + F.length(F.element_at(p, -1))
+
+        def window(i: Column) -> Column:
+            here = F.array_join(F.slice(p, i + 1, reach), "")
+            end = F.least(F.lit(size), n - i * step)
+            return F.struct(here.alias("here"), end.alias("end"), (i * step + end >= n).alias("over"))
+
+        def snapped(w: Column) -> Column:
+            ahead = F.regexp_instr(F.substring(w["here"], w["end"] + 1, F.lit(SNAP)), F.lit(STOPS))
+            low = F.greatest(w["end"] - SNAP, F.lit(0))
+            behind = F.regexp_instr(F.reverse(F.substring(w["here"], low + 1, w["end"] - low)), F.lit(STOPS))
+            return F.when(w["over"], w["end"]).when(ahead > 0, w["end"] + ahead).when(behind > 0, w["end"] - behind + 1).otherwise(w["end"])
+
+        def ended(w: Column, i: Column) -> Column:
+            to = snapped(w)
+            return F.struct(trim(F.substring(w["here"], F.lit(1), to)).alias("text"), (i * step + to >= n).alias("last"))
+
+        every = F.transform(F.transform(F.sequence(F.lit(0), F.size(p) - 1), window), ended)
+        # the first window that reaches the end is the last
+        upto = F.transform(F.array(every), lambda w: F.slice(w, F.lit(1), F.array_position(F.transform(w, lambda x: x["last"]), F.lit(True)).cast("int")))
+        return F.transform(F.filter(F.element_at(upto, 1), lambda x: F.octet_length(x["text"]) >= MIN_BYTES), lambda x: x["text"])
+
+    made = F.element_at(F.transform(F.array(pieces_), windows), 1)
+    return F.when(F.length(normalise(text)) > 0, made).otherwise(F.array().cast("array<string>"))
+
+
+def _titled(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.array(F.lit(""), t))
+
+
+def _exploded(rows: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, idx, title, text, content_hash, ...) from (doc_id, chunks), chunks being pairs of title and text."""
+    at = rows.select("doc_id", *more, F.posexplode("chunks").alias("idx", "c"))
+    return at.select("doc_id", "idx", F.get("c", F.lit(0)).alias("title"), F.get("c", F.lit(1)).alias("text"), *more).select("doc_id", "idx", "title", "text", content_hash(F.col("text")).alias("content_hash"), *more)
+
+
+def fixed(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Windows of ``size`` characters that start every ``size - overlap``; an end moves to just behind the next stop
+    within 80 characters, else behind the last one within 80 before.  Trimmed windows under 30 bytes are dropped."""
+    return _exploded(docs.select("doc_id", _titled(fixed_windows(F.col("text"), size, overlap)).alias("chunks")))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sentences(text: pd.Series) -> pd.Series:
     """The text cut behind . ! or ? where a capital, a quote, a parenthesis or the end follows, and at least four words
     have gathered; the rest is the last."""
-    pieces = F.split(text, r"(?<=[.!?])(?=[ \n]*(?:[\p{Lu}\"'(]|\z))")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    return text.map(lambda t: chunk_text.sentences(t or ""))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _sections(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else chunk_text.sections(t))
 
-    def step(s: Column, p: Column) -> Column:
-        now = F.concat(s["open"], p)
-        kept = trim(now)
-        enough = (F.size(F.split(kept, r"\s+")) >= 4) & now.rlike(r"[.!?]\z")
-        return F.when(enough, F.struct(F.concat(s["done"], F.array(kept)).alias("done"), F.lit("").alias("open"))).otherwise(F.struct(s["done"].alias("done"), now.alias("open")))
 
-    return F.aggregate(pieces, empty, step, lambda s: F.when(trim(s["open"]) == "", s["done"]).otherwise(F.concat(s["done"], F.array(trim(s["open"])))))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _blocks(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else chunk_text.blocks(t))
+
+
+@F.pandas_udf(T.StringType())
+def _spoken(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else "\n".join(chunk_text.spoken(t)))
 
 
 def sentence_windows(docs: DataFrame, reach: int = 2) -> DataFrame:
     """Each sentence with its neighbours up to ``reach`` away."""
     s = docs.select("doc_id", sentences(normalise(F.col("text"))).alias("s"))
-    at = s.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)))).alias("idx")).where(F.size("s") > 0)
-    low = F.greatest(F.col("idx") - reach, F.lit(0))
-    text = F.array_join(F.slice("s", low + 1, F.least(F.col("idx") + reach + 1, F.size("s")) - low), " ")
-    return at.select("doc_id", F.col("idx").cast("int"), F.lit("").alias("title"), text.alias("text")).withColumn("content_hash", content_hash(F.col("text")))
+
+    def around(x: Column, i: Column) -> Column:
+        low = F.greatest(i - reach, F.lit(0))
+        return F.array(F.lit(""), F.array_join(F.slice(F.col("s"), low + 1, F.least(i + reach + 1, F.size("s")) - low), " "))
+
+    return _exploded(s.select("doc_id", F.transform("s", around).alias("chunks")))
 
 
 def is_header(line: Column) -> Column:
@@ -91,71 +135,64 @@ def is_header(line: Column) -> Column:
     return F.when(s.startswith("#"), marked).when(s.rlike(r"^[0-9]"), numbered).otherwise(False)
 
 
-def _lines(docs: DataFrame, normal: bool = True) -> DataFrame:
-    text = normalise(F.col("text")) if normal else F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.posexplode(lines_of(text)).alias("i", "line"))
-
-
 def sections(docs: DataFrame) -> DataFrame:
     """One chunk per header with its body; code fences hide headers; a body under 30 bytes goes unless it is the last;
     fewer than two headers give nothing."""
-    by = W.partitionBy("doc_id").orderBy("i")
-    fence = trim(F.col("line")).startswith("```")
-    l = _lines(docs).withColumn("fence", fence.cast("int")).withColumn("inside", F.sum("fence").over(by) % 2 == 1)
-    l = l.withColumn("head", (~F.col("inside") & (F.col("fence") == 0) & is_header(F.col("line"))).cast("int")).withColumn("sec", F.sum("head").over(by)).where("sec > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("i", "line")))), lambda x: x["line"]), "\n")
-    g = l.groupBy("doc_id", "sec").agg(F.max(F.when(F.col("head") == 1, trim(F.col("line")))).alias("title"), trim(body).alias("body"))
-    g = g.withColumn("last", F.max("sec").over(W.partitionBy("doc_id"))).where((F.col("last") >= 2) & ((F.octet_length("body") >= MIN_BYTES) | (F.col("sec") == F.col("last"))))
-    idx = F.row_number().over(W.partitionBy("doc_id").orderBy("sec")) - 1
-    return g.select("doc_id", idx.cast("int").alias("idx"), "title", F.concat("title", F.lit("\n"), "body").alias("text")).withColumn("content_hash", content_hash(F.col("text")))
+    return _exploded(docs.select("doc_id", _sections(normalise(F.col("text"))).alias("chunks")))
+
+
+def _talk(text: Column) -> Column:
+    """Blocks of questions, or windows of 800 with overlap 100 over what is spoken where there are fewer than two."""
+    b = _blocks(normalise(text))
+    few = F.when(b.isNull(), _spoken(normalise(text)))
+    return F.coalesce(b, _titled(fixed_windows(few, 800, 100)))
 
 
 def conversation(docs: DataFrame) -> DataFrame:
     """One chunk per question line up to the next; lines that are only a time are dropped; what stands before the first
     question is an introduction if it has 30 bytes.  Fewer than two questions: windows of 800 with overlap 100."""
-    s = trim(F.col("line"))
-    time_only = (F.octet_length(s) <= 8) & s.rlike(r"^[0-9:]*$")
-    clean = _lines(docs).select("doc_id", "i", s.alias("line"), time_only.alias("t")).where("not t and line <> ''").drop("t")
-    by = W.partitionBy("doc_id").orderBy("i")
-    l = clean.withColumn("q", F.col("line").endswith("?").cast("int")).withColumn("block", F.sum("q").over(by)).withColumn("qs", F.sum("q").over(W.partitionBy("doc_id")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), " ")
-    blocks = l.where("qs >= 2").groupBy("doc_id", "block").agg(trim(joined).alias("text"), F.min_by("line", "i").alias("first"))
-    blocks = blocks.where(((F.col("block") > 0) & (F.octet_length("text") >= 20)) | ((F.col("block") == 0) & (F.octet_length("text") >= MIN_BYTES)))
-    idx = F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1
-    title = F.when(F.col("block") == 0, "Introduction").otherwise(F.substring("first", 1, 80))
-    many = blocks.select("doc_id", idx.cast("int").alias("idx"), title.alias("title"), "text").withColumn("content_hash", content_hash(F.col("text")))
-    few = l.where("qs < 2").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return many.unionByName(fixed(few, 800, 100))
+    return _exploded(docs.select("doc_id", _talk(F.col("text")).alias("chunks")))
+
+
+def strategy_of(text: Column) -> Column:
+    """tree, conversation or fixed, from the share of header, time and question lines."""
+
+    def count(l: Column, test) -> Column:
+        return F.size(F.filter(l, test))
+
+    def time(line: Column) -> Column:
+        s = trim(line)
+        return (F.octet_length(s) >= 4) & s.rlike("^[0-9]") & s.contains(":") & (F.octet_length(s) <= 8)
+
+    def choose(l: Column) -> Column:
+        n, h, t, q = F.greatest(F.size(l), F.lit(1)), count(l, is_header), count(l, time), count(l, lambda x: trim(x).endswith("?"))
+        return F.when(h * 10 > n, "tree").when((t * 5 > n) | ((q > 3) & (t > 3)), "conversation").otherwise("fixed")
+
+    return F.element_at(F.transform(F.array(lines_of(F.coalesce(text, F.lit("")))), choose), 1)
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, strategy): tree, conversation or fixed, from the share of header, time and question lines."""
-    s = trim(F.col("line"))
-    time = (F.octet_length(s) >= 4) & s.rlike("^[0-9]") & s.contains(":") & (F.octet_length(s) <= 8)
-    l = _lines(docs, normal=False)
-    g = l.groupBy("doc_id").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.count_if(is_header(F.col("line"))).alias("h"), F.count_if(time).alias("t"), F.count_if(s.endswith("?")).alias("q"))
-    found = F.when(F.col("h") * 10 > F.col("n"), "tree").when((F.col("t") * 5 > F.col("n")) | ((F.col("q") > 3) & (F.col("t") > 3)), "conversation").otherwise("fixed")
-    return docs.select("doc_id").distinct().join(g.select("doc_id", found.alias("strategy")), "doc_id", "left").select("doc_id", F.coalesce("strategy", F.lit("fixed")).alias("strategy"))
+    """(doc_id, strategy) of every row."""
+    return docs.select("doc_id", strategy_of(F.col("text")).alias("strategy"))
 
 
 def chunk(docs: DataFrame, strategy: str = "auto", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks with the strategy that was really used: sections and conversations of fewer than two chunks fall back to
-    fixed windows (``tree->fixed``, ``conversation->fixed``); any other name chooses per document."""
+    fixed windows (``tree->fixed``, ``conversation->fixed``); any other name chooses per document.  Every document is
+    chunked where it lies: no row meets another, so ids may repeat or be null."""
     if strategy == "fixed":
         return fixed(docs, size, overlap).withColumn("strategy", F.lit("fixed"))
     if strategy == "sentence":
         return sentence_windows(docs).withColumn("strategy", F.lit("sentence"))
-    if strategy in ("tree", "conversation"):
-        own = (sections if strategy == "tree" else conversation)(docs)
-        enough = own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c >= 2").select("doc_id")
-        rest = fixed(docs.join(enough, "doc_id", "left_anti"), size, overlap)
-        return own.join(enough, "doc_id", "left_semi").withColumn("strategy", F.lit(strategy)).unionByName(rest.withColumn("strategy", F.lit(f"{strategy}->fixed")))
-    chosen = docs.join(detect(docs), "doc_id")
-    out = None
-    for s in ("tree", "conversation", "fixed"):
-        part = chunk(chosen.where(F.col("strategy") == s).drop("strategy"), s, size, overlap)
-        out = part if out is None else out.unionByName(part)
-    return out
+    wanted = F.lit(strategy) if strategy in ("tree", "conversation") else strategy_of(F.col("text"))
+    asked = docs.select("doc_id", "text", wanted.alias("asked"))
+    text = lambda s: F.when(F.col("asked") == s, F.col("text"))
+    own = asked.select("doc_id", "text", "asked", _sections(normalise(text("tree"))).alias("tree"), _talk(text("conversation")).alias("talk"))
+    own = own.select("doc_id", "text", "asked", F.when(F.col("asked") == "tree", F.col("tree")).when(F.col("asked") == "conversation", F.col("talk")).alias("own"))
+    enough = F.coalesce(F.size("own") >= 2, F.lit(False))
+    used = F.when(F.col("asked") == "fixed", "fixed").when(enough, F.col("asked")).otherwise(F.concat("asked", F.lit("->fixed")))
+    rest = _titled(fixed_windows(F.when(~enough, F.col("text")), size, overlap))
+    return _exploded(own.select("doc_id", used.alias("strategy"), F.when(enough, F.col("own")).otherwise(rest).alias("chunks")), "strategy")
 
 
 def split_sentences(text: Column, most: int = 512) -> Column:

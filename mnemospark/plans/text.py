@@ -211,12 +211,95 @@ tr AS (SELECT a.doc_id, lpad(CAST(a.n AS VARCHAR), 4, '0') AS node_id, a.title,
 _RANK = f"""{_NODES}, qt AS (SELECT DISTINCT unnest({_TERMS.format("'section of the onin thand heat de la que'")}) AS q),
 pt AS (SELECT doc_id, node_id, level, (CASE WHEN list_contains({_TERMS.format('title')}, q) THEN 5.0 ELSE 0.0 END) + (CASE WHEN list_contains({_TERMS.format('summary')}, q) THEN 2.0 ELSE 0.0 END) + least(len(list_filter({_TERMS.format('own_text')}, lambda x: x = q)), 3) AS p FROM tr, qt),
 rk AS (SELECT doc_id, node_id, CAST(round(sum(p) + 0.1 * any_value(level), 2) AS DOUBLE) AS score FROM pt GROUP BY doc_id, node_id HAVING sum(p) > 0)"""
-_WIN = """nt AS (SELECT doc_id, regexp_replace(replace(coalesce({text}, ''), chr(13) || chr(10), chr(10)), '[^\\S\\n]+(\\n|$)', '\\1', 'g') AS t FROM {frm}),
-st AS (SELECT doc_id, t, length(t) AS n, unnest(range(0, length(t), 800)) AS s FROM nt WHERE length(t) > 0),
-en AS (SELECT *, least(s + 1000, n) AS e FROM st),
-sn AS (SELECT *, CASE WHEN e >= n THEN n WHEN regexp_matches(substr(t, e + 1, 80), '[.!?\\n]') THEN e + length(regexp_extract(substr(t, e + 1, 80), '^[^.!?\\n]*[.!?\\n]')) WHEN regexp_matches(substr(t, greatest(e - 80, 0) + 1, e - greatest(e - 80, 0)), '[.!?\\n]') THEN e - length(regexp_extract(substr(t, greatest(e - 80, 0) + 1, e - greatest(e - 80, 0)), '[^.!?\\n]*$')) ELSE e END AS z FROM en),
-lm AS (SELECT *, coalesce(max(CASE WHEN z >= n THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM sn),
-ck AS (SELECT doc_id, s, regexp_replace(substr(t, s + 1, z - s), '^\\s+|\\s+$', '', 'g') AS text FROM lm WHERE done = 0)"""
+_WHITE = "[^\\S\\n]+(\\n|$)"
+
+
+def _win(tag: str, frm: str, size: int = 1000, overlap: int = 200, text: str = "text") -> str:
+    """Tables that end in ck{tag} (doc_id, s, text): the windows over a table's texts."""
+    stop = "[.!?\\n]"
+    ahead, low = "substr(t, e + 1, 80)", "greatest(e - 80, 0)"
+    before = f"substr(t, {low} + 1, e - {low})"
+    snap = f"CASE WHEN e >= n THEN n WHEN regexp_matches({ahead}, '{stop}') THEN e + length(regexp_extract({ahead}, '^[^.!?\\n]*[.!?\\n]')) WHEN regexp_matches({before}, '{stop}') THEN e - length(regexp_extract({before}, '[^.!?\\n]*$')) ELSE e END"
+    return f"""nt{tag} AS (SELECT doc_id, regexp_replace(replace(coalesce({text}, ''), chr(13) || chr(10), chr(10)), '{_WHITE}', '\\1', 'g') AS t FROM {frm}),
+st{tag} AS (SELECT doc_id, t, length(t) AS n, unnest(range(0, length(t), {size - overlap})) AS s FROM nt{tag} WHERE length(t) > 0),
+en{tag} AS (SELECT *, least(s + {size}, n) AS e FROM st{tag}),
+sn{tag} AS (SELECT *, {snap} AS z FROM en{tag}),
+lm{tag} AS (SELECT *, coalesce(max(CASE WHEN z >= n THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM sn{tag}),
+ck{tag} AS (SELECT * FROM (SELECT doc_id, s, regexp_replace(substr(t, s + 1, z - s), '^\\s+|\\s+$', '', 'g') AS text FROM lm{tag} WHERE done = 0) WHERE strlen(text) >= 30)"""
+
+
+def _nl(tag: str, frm: str, normal: bool = True) -> str:
+    """Table ln{tag} (doc_id, i, line, s): the lines of a table's texts, without a last empty one, as they are and trimmed."""
+    text = f"regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '{_WHITE}', '\\1', 'g')" if normal else "coalesce(text, '')"
+    return f"""lx{tag} AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM (SELECT doc_id, {text} AS t FROM {frm})),
+ly{tag} AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM lx{tag}),
+ln{tag} AS (SELECT doc_id, i, line, {_TRIM.format("line")} AS s FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM ly{tag}))"""
+
+
+_REST = _TRIM.format("regexp_replace(s, '^[0-9.]+', '')")
+_HEAD = f"CASE WHEN s LIKE '#%' THEN strlen({_TRIM.format("regexp_replace(s, '^#+', '')")}) >= 3 WHEN regexp_matches(s, '^[0-9]') THEN strlen({_REST}) BETWEEN 2 AND 80 AND regexp_matches({_REST}, '^\\p{{Lu}}') AND NOT ends_with({_REST}, '.') ELSE false END"
+
+
+def _sections(tag: str, frm: str) -> str:
+    """Table own{tag} (doc_id, s, text): the sections under headers."""
+    return f"""{_nl(tag, frm)},
+fe{tag} AS (SELECT *, CASE WHEN starts_with(s, '```') THEN 1 ELSE 0 END AS fence, sum(CASE WHEN starts_with(s, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM ln{tag}),
+hx{tag} AS (SELECT *, CASE WHEN NOT inside AND fence = 0 AND {_HEAD} THEN 1 ELSE 0 END AS head FROM fe{tag}),
+sx{tag} AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM hx{tag}),
+bx{tag} AS (SELECT doc_id, sec, max(CASE WHEN head = 1 THEN s END) AS title, {_TRIM.format("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (head = 0), '')")} AS body FROM sx{tag} WHERE sec > 0 GROUP BY doc_id, sec),
+mx{tag} AS (SELECT *, max(sec) OVER (PARTITION BY doc_id) AS last FROM bx{tag}),
+own{tag} AS (SELECT doc_id, sec AS s, title || chr(10) || body AS text FROM mx{tag} WHERE last >= 2 AND (strlen(body) >= 30 OR sec = last))"""
+
+
+def _talk_blocks(tag: str, frm: str) -> str:
+    """Table own{tag} (doc_id, s, text): the blocks under questions, or windows over what is spoken."""
+    return f"""{_nl(tag, frm)},
+sp{tag} AS (SELECT doc_id, i, s FROM ln{tag} WHERE s <> '' AND NOT (strlen(s) <= 8 AND regexp_full_match(s, '[0-9:]*'))),
+qx{tag} AS (SELECT *, sum(CASE WHEN ends_with(s, '?') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block, sum(CASE WHEN ends_with(s, '?') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS qs FROM sp{tag}),
+bk{tag} AS (SELECT doc_id, block, string_agg(s, ' ' ORDER BY i) AS text FROM qx{tag} WHERE qs >= 2 GROUP BY doc_id, block),
+few{tag} AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY i) AS text FROM qx{tag} WHERE qs < 2 GROUP BY doc_id),
+{_win(tag + "f", f"few{tag}", 800, 100)},
+own{tag} AS (SELECT doc_id, block AS s, text FROM bk{tag} WHERE strlen(text) >= CASE WHEN block = 0 THEN 30 ELSE 20 END UNION ALL SELECT doc_id, s, text FROM ck{tag}f)"""
+
+
+def _or_fixed(tag: str, frm: str) -> str:
+    """Table out{tag} (doc_id, s, text, fell): a document's own chunks where there are two or more, else its windows."""
+    return f"""en_{tag} AS (SELECT doc_id FROM own{tag} GROUP BY doc_id HAVING count(*) >= 2),
+{_win(tag + "r", f"(SELECT doc_id, text FROM {frm} WHERE doc_id NOT IN (SELECT doc_id FROM en_{tag}))")},
+out{tag} AS (SELECT own{tag}.*, false AS fell FROM own{tag} SEMI JOIN en_{tag} USING (doc_id) UNION ALL SELECT doc_id, s, text, true FROM ck{tag}r)"""
+
+
+def _detected(tag: str, frm: str) -> str:
+    """Table det{tag} (doc_id, strategy)."""
+    return f"""{_nl(tag, frm, normal=False)},
+ct{tag} AS (SELECT doc_id, greatest(count(*), 1) AS n, count(*) FILTER ({_HEAD}) AS h, count(*) FILTER (strlen(s) BETWEEN 4 AND 8 AND regexp_matches(s, '^[0-9]') AND contains(s, ':')) AS t, count(*) FILTER (ends_with(s, '?')) AS q FROM ln{tag} GROUP BY doc_id),
+det{tag} AS (SELECT d.doc_id, CASE WHEN h * 10 > n THEN 'tree' WHEN t * 5 > n OR (q > 3 AND t > 3) THEN 'conversation' ELSE 'fixed' END AS strategy FROM (SELECT doc_id FROM {frm}) d LEFT JOIN ct{tag} USING (doc_id))"""
+
+
+def _auto(frm: str) -> str:
+    """Table auto (doc_id, strategy): one row per chunk."""
+    pick = lambda s: f"(SELECT doc_id, text FROM {frm} JOIN detz USING (doc_id) WHERE strategy = '{s}')"
+    return f"""{_detected("z", frm)}, {_sections("a", pick("tree"))}, {_or_fixed("a", pick("tree"))}, {_talk_blocks("b", pick("conversation"))}, {_or_fixed("b", pick("conversation"))}, {_win("c", pick("fixed"))},
+auto AS (SELECT doc_id, 'tree' || CASE WHEN fell THEN '->fixed' ELSE '' END AS strategy FROM outa UNION ALL SELECT doc_id, 'conversation' || CASE WHEN fell THEN '->fixed' ELSE '' END FROM outb UNION ALL SELECT doc_id, 'fixed' FROM ckc)"""
+
+
+def _told(table: str) -> str:
+    return f"SELECT doc_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, sha256(string_agg(sha256(text), '' ORDER BY s)) AS digest FROM {table} GROUP BY doc_id"
+
+
+_TALKS = "tk AS (SELECT conv_id AS doc_id, string_agg(text || CASE WHEN turn % 2 = 0 THEN '?' ELSE '' END, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)"
+_DONE = f"(len(regexp_extract_all({_TRIM.format('{0}')}, '\\S+')) >= 4 AND regexp_matches({{0}}, '[.!?]$'))"
+#: Cuts are marked, pieces gathered one after another until they are a sentence.
+_SENTENCES = f"""{_nl("s", "documents").split(",\nly")[0]}, tx AS (SELECT doc_id, array_to_string(l, chr(10)) AS t FROM lxs),
+pc AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([.!?])([ \\n]*[\\p{{Lu}}"''(])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])([ \\n]*)$', '\\1' || chr(1) || '\\2'), chr(1)) AS p FROM tx),
+pt AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n FROM pc),
+sr AS (SELECT doc_id, i, n, piece AS now, {_DONE.format("piece")} AS done FROM pt WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.i, x.n, x.now, {_DONE.format("x.now")} FROM (SELECT pt.doc_id, pt.i, pt.n, CASE WHEN sr.done THEN '' ELSE sr.now END || pt.piece AS now FROM sr JOIN pt ON pt.doc_id = sr.doc_id AND pt.i = sr.i + 1) x),
+se AS (SELECT doc_id, i AS s, {_TRIM.format("now")} AS own FROM sr WHERE (done OR i = n) AND {_TRIM.format("now")} <> ''),
+sw AS (SELECT doc_id, s, string_agg(own, ' ') OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS text FROM se)"""
+_PIECES = "CASE WHEN length(s) <= 512 THEN 1 ELSE CAST(ceil(length(s) / 512.0) AS BIGINT) END"
+_CHARS = f"CASE WHEN length(s) <= 512 THEN length(s) ELSE list_sum(list_transform(range(0, length(s), 512), lambda a: length({_TRIM.format('substr(s, a + 1, 512)')}))) END"
+_STOPPED = "regexp_extract_all({0}, '[^.?!]*[.?!]|[^.?!]+')"
 
 SQL = {
     "bm25_stats": f"WITH {_POST} SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS total, round(avg(len(t)), 6) AS avgdl FROM tok",
@@ -225,7 +308,27 @@ SQL = {
     "hybrid_rerank": f"WITH {_R}, {_SCORE}, h AS (SELECT r.id, CAST({_l2('r.fx', 'q.fx')} AS DOUBLE) AS distance FROM r, (SELECT fx FROM r WHERE id = 0) q ORDER BY distance, id LIMIT 100), k AS (SELECT h.id, distance, coalesce(bm25, 0.0) AS bm25, row_number() OVER (ORDER BY distance, h.id) AS rank FROM h LEFT JOIN sc ON sc.id = h.id), m AS (SELECT min(distance) AS a, max(distance) AS b, min(bm25) AS c, max(bm25) AS e FROM k) SELECT id, round(bm25, 6) AS bm25, round(0.5 * (1 - (distance - a) / (b - a)) + 0.5 * (bm25 - c) / (e - c), 6) AS blended FROM k, m ORDER BY 0.5 * (1 - (distance - a) / (b - a)) + 0.5 * (bm25 - c) / (e - c) DESC, rank LIMIT 5",
     "tokens_bm25": f"SELECT doc_id AS id, CAST(len({_TOK}) AS INT) AS n_tokens FROM documents",
     "tokens_tree": f"SELECT doc_id AS id, CAST(len({_TERMS.format('text')}) AS INT) AS n_tokens FROM documents",
-    "chunk_fixed": f"WITH {_WIN.format(text='text', frm='documents')}, x AS (SELECT doc_id, s, text, sha256(text) AS h FROM ck WHERE strlen(text) >= 30) SELECT doc_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, sha256(string_agg(h, '' ORDER BY s)) AS digest FROM x GROUP BY doc_id",
+    "chunk_fixed": f"WITH {_win('', 'documents')} {_told('ck')}",
+    "chunk_sentence": f"WITH RECURSIVE {_SENTENCES} {_told('sw')}",
+    "chunk_tree": f"WITH {_MD}, {_sections('t', 'md')}, {_or_fixed('t', 'md')} {_told('outt')}",
+    "chunk_conversation": f"WITH {_TALKS}, {_talk_blocks('t', 'tk')}, {_or_fixed('t', 'tk')} {_told('outt')}",
+    "chunk_auto": f"WITH {_auto('documents')} SELECT doc_id, strategy, count(*) AS chunks FROM auto GROUP BY ALL",
+    "ingest_pipeline": f"WITH fine AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND {_TRIM.format("coalesce(text, '')")} <> '' AND strlen(text) <= {50 << 20}), {_auto('fine')} SELECT doc_id, strategy, count(*) AS chunks, CAST(16 AS INT) AS dim FROM auto GROUP BY doc_id, strategy",
+    "detect_strategy": f"WITH {_MD}, dm AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM md), {_detected('', 'dm')} SELECT * FROM det",
+    "split_sentences": f"WITH p AS (SELECT doc_id, list_filter(list_transform({_STOPPED.format("coalesce(text, '')")}, lambda s: {_TRIM.format('s')}), lambda s: s <> '') AS p FROM documents) SELECT doc_id, CAST(coalesce(list_sum(list_transform(p, lambda s: {_PIECES})), 0) AS INT) AS n, CAST(coalesce(list_sum(list_transform(p, lambda s: {_CHARS})), 0) AS INT) AS chars FROM p",
+    "split_paragraphs": f"""WITH g AS (SELECT doc_id, {_TRIM.format('g')} AS g FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS g FROM documents)),
+w AS (SELECT doc_id, g AS s FROM g WHERE g <> '' AND length(g) <= 512 UNION ALL SELECT doc_id, {_TRIM.format('s')} FROM (SELECT doc_id, unnest({_STOPPED.format('g')}) AS s FROM g WHERE length(g) > 512)),
+c AS (SELECT doc_id, sum({_PIECES}) AS n, sum({_CHARS}) AS chars FROM w WHERE s <> '' GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n, CAST(coalesce(chars, 0) AS INT) AS chars FROM documents LEFT JOIN c USING (doc_id)""",
+    "embed_hash": """WITH h AS (SELECT item_id, sha256(unhex(sha256(coalesce(text, ''))) || unhex('00000000')) || sha256(unhex(sha256(coalesce(text, ''))) || unhex('01000000')) AS x FROM benchmark),
+b AS (SELECT item_id, list_transform(range(40), lambda k: CAST((16 * (instr('0123456789abcdef', x[2 * k + 1]) - 1) + instr('0123456789abcdef', x[2 * k + 2]) - 1) / 127.5 - 1.0 AS FLOAT)) AS v FROM h)
+SELECT item_id, round(list_sum(list_transform(v, lambda e: CAST(e AS DOUBLE))), 4) AS total FROM b""",
+    "diff_ingest": f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'One more line that is new.' ELSE text END AS text FROM documents), {_win('o', 'documents')}, {_win('n', 'e')},
+c AS (SELECT doc_id, sha256(text) AS h, count(*) FILTER (old) AS a, count(*) FILTER (NOT old) AS b FROM (SELECT doc_id, text, true AS old FROM cko UNION ALL SELECT doc_id, text, false FROM ckn) GROUP BY ALL),
+u AS (SELECT doc_id, 'keep' AS action, least(a, b) AS n FROM c UNION ALL SELECT doc_id, 'add', greatest(b - a, 0) FROM c UNION ALL SELECT doc_id, 'remove', greatest(a - b, 0) FROM c)
+SELECT doc_id, action, CAST(sum(n) AS BIGINT) AS n FROM u WHERE n > 0 GROUP BY ALL""",
+    "markdown_text": f"""WITH {_MD}, l AS (SELECT doc_id, i, line, regexp_matches(line, '^#+ ') AS head, {_TRIM.format("regexp_replace(line, '^#+ +', '')")} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM md))
+SELECT doc_id, arg_min(s, i) FILTER (regexp_matches(line, '^# ')) AS title, CAST(length(string_agg(s, chr(10) ORDER BY i) FILTER (s <> '')) AS INT) AS chars FROM l GROUP BY doc_id""",
     "tree_build": f"WITH {_NODES} SELECT doc_id, node_id, title, level, start_line, end_line, summary, parent FROM tr",
     "tree_rank": f"WITH {_RANK} SELECT * FROM rk",
     "tree_rank_normalised": f"WITH {_RANK} SELECT doc_id, node_id, round(score / max(score) OVER (PARTITION BY doc_id), 6) AS score FROM rk",
