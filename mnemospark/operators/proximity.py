@@ -1,7 +1,8 @@
 """Approximate search in layered proximity graphs, one per shard of records.
 
 A graph is built by inserting records one after another, so a table is dealt into shards of bounded size, each built in
-one task; a query visits every shard and the shards' best are ranked together.  Levels come from a hash of the id and
+one task; a query visits the shards of the cells nearest to it, as many as a sample shows to be needed, and the shards'
+best are ranked together.  Levels come from a hash of the id and
 ties go to the smaller id, so the graphs don't depend on partitions or time.
 """
 
@@ -9,13 +10,15 @@ from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import cells
 from .cells import FNV_OFFSET, FNV_PRIME
 
 # fixed values: links a node keeps above the ground and on it, and how far building and searching look
@@ -121,10 +124,26 @@ class Layers:
         return self.near(q, at, max(k, SEARCH_WIDTH), 0)[:k]
 
 
-def build(records: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(shard, id, fx, layer, neighbours): the graphs of all shards as a table, one row per record and layer."""
+@dataclass
+class Graphs:
+    """The graphs of all shards as a table (cell, shard, id, fx, layer, neighbours), one row per record and layer, the
+    cells' centroids, and how many cells a query visits."""
+
+    table: DataFrame
+    centroids: np.ndarray
+    probes: int
+
+
+def build(records: DataFrame, shard_rows: int = SHARD_ROWS, target: float = cells.TARGET) -> Graphs:
+    """Records are dealt into cells of like vectors, as many as give shards of about half of ``shard_rows``; a cell of
+    more is dealt further into shards by a hash of the id.  Every shard is built in one task."""
     usable = records.where("fx is not null").select(F.col("id").cast("long"), "fx")
-    shards = max(1, math.ceil(usable.count() / shard_rows))
+    n = usable.count()
+    many = max(1, math.ceil(2 * n / shard_rows)) if n > shard_rows else 1
+    index = cells.build(usable, many, iterations=10, target=target)
+    placed = index.records
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("cell", "shard", "id", "fx")  # one row a cell
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -132,24 +151,46 @@ def build(records: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         g = Layers(ids, np.stack(pdf["fx"].to_list()))
         for row in range(len(ids)):
             g.insert(row)
-        rows = [(pdf["shard"].iloc[0], int(ids[r]), pdf["fx"].iloc[r] if n == 0 else None, n, [int(ids[k]) for k in near]) for n, links in enumerate(g.links) for r, near in links.items()]
-        return pd.DataFrame(rows, columns=["shard", "id", "fx", "layer", "neighbours"])
+        rows = [(pdf["cell"].iloc[0], pdf["shard"].iloc[0], int(ids[r]), pdf["fx"].iloc[r] if n == 0 else None, n, [int(ids[k]) for k in near]) for n, links in enumerate(g.links) for r, near in links.items()]
+        return pd.DataFrame(rows, columns=["cell", "shard", "id", "fx", "layer", "neighbours"])
 
-    dealt = usable.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(grow, "shard long, id long, fx array<int>, layer int, neighbours array<long>")
+    table = dealt.groupBy("cell", "shard").applyInPandas(grow, "cell int, shard int, id long, fx array<int>, layer int, neighbours array<long>")
+    return Graphs(table, index.centroids, index.probes)
 
 
-def search(graph: DataFrame, queries: DataFrame, k: int, query_bytes: int = 16 << 20) -> DataFrame:
-    """(qid, id, dist, rank): each query (qid, q) in every shard, ranked together; queries are broadcast in blocks."""
-    size = queries.agg(F.sum(F.size("q") * 4 + 8)).first()[0] or 0
-    blocks = max(1, math.ceil(size / query_bytes))
-    out = None
-    for n in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n).select(F.col("qid").cast("long"), "q").collect()
-        shared = graph.sparkSession.sparkContext.broadcast([(r["qid"], r["q"]) for r in own])
+def save(graphs: Graphs, path: str) -> None:
+    """Write the graphs as one directory per cell, so a query reads those it visits only, and the centroids."""
+    graphs.table.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/graphs")
+    rows = [(i, [int(x) for x in c], graphs.probes) for i, c in enumerate(graphs.centroids)]
+    graphs.table.sparkSession.createDataFrame(rows, "cell int, centroid array<long>, probes int").write.mode("overwrite").parquet(f"{path}/centroids")
 
-        part = graph.groupBy("shard").applyInPandas(_visitor(shared, k), "qid long, id long, dist long")
+
+def load(spark: SparkSession, path: str) -> Graphs:
+    told = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    table = spark.read.schema("shard int, id long, fx array<int>, layer int, neighbours array<long>, cell int").parquet(f"{path}/graphs")
+    return Graphs(table, np.array([r["centroid"] for r in told], np.int64) if told else np.zeros((0, 0), np.int64), told[0]["probes"] if told else 1)
+
+
+def search(graphs: Graphs, queries: DataFrame, k: int, query_bytes: int = 16 << 20) -> DataFrame:
+    """(qid, id, dist, rank): each query (qid, q) in the shards of the cells it visits, ranked together; the queries are
+    broadcast in blocks of bounded bytes."""
+    m = min(graphs.probes, max(1, len(graphs.centroids)))
+    size = queries.agg(F.sum(F.size("q") * 4 + 16)).first()[0] or 0
+    blocks = max(1, math.ceil(size * m / query_bytes))
+    spark, out = graphs.table.sparkSession, None
+    for n in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)
+        asked: dict[int, list] = {}
+        for r in cells.routes(own, graphs.centroids, m).where(F.col("cell") != cells.UNPLACED).collect():
+            asked.setdefault(r["cell"], []).append((r["qid"], r["q"]))
+        if not asked:
+            continue
+        visited = spark.createDataFrame([(c,) for c in asked], "cell int")
+        shared = spark.sparkContext.broadcast(asked)
+        part = graphs.table.join(F.broadcast(visited), "cell").groupBy("cell", "shard").applyInPandas(_visitor(shared, k), "qid long, id long, dist long")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "qid long, id long, dist long, rank int")
     return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "id"))).where(F.col("rank") <= k)
 
 
@@ -164,7 +205,7 @@ def _visitor(shared, k: int):
         for r in pdf.itertuples():
             g.links[r.layer][place[r.id]] = [place[int(x)] for x in r.neighbours]
         g.entry = min(g.links[top])
-        rows = [(qid, int(ids[r]), d) for qid, q in shared.value for d, r in g.search(np.array(q, np.int64), k)]
+        rows = [(qid, int(ids[r]), d) for qid, q in shared.value[int(pdf["cell"].iloc[0])] for d, r in g.search(np.array(q, np.int64), k)]
         return pd.DataFrame(rows, columns=["qid", "id", "dist"])
 
     return visit

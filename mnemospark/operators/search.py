@@ -34,17 +34,42 @@ def nearest(records: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return found.orderBy("dist", "id").limit(k).withColumn("score", fx.score(F.col("dist")))
 
 
+#: Distances of so many rows to all queries are held at once.
+BLOCK_ROWS = 1024
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of all rows of a and b (64-bit integers that fit), as float64 matrix products, which are exact
+    below 2**53: of the values themselves where these are small, else of their halves of 16 bits."""
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b)), np.int64)
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    (ah, al), (bh, bl) = ((x >> 16, x & 0xFFFF) for x in (a, b))
+    product = lambda x, y: (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
+    return (product(ah, bh) << 32) + ((product(ah, bl) + product(al, bh)) << 16) + product(al, bl)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a to all rows of b in 64-bit integers, saturated where they would not fit."""
     if a.size and b.size and float(max(abs(int(a.max())), abs(int(a.min()))) + max(abs(int(b.max())), abs(int(b.min())))) ** 2 * a.shape[1] >= 2.0**62:
         top = (1 << 63) - 1
         return np.array([[min(sum((int(p) - int(q)) ** 2 for p, q in zip(x, y, strict=True)), top) for y in b] for x in a], np.int64).reshape(len(a), len(b))
-    out = np.empty((a.shape[0], b.shape[0]), np.int64)
-    for i in range(0, a.shape[0], 64):
-        for j in range(0, b.shape[0], 1024):
-            d = a[i : i + 64, None, :] - b[None, j : j + 1024, :]
-            out[i : i + 64, j : j + 1024] = np.einsum("ijk,ijk->ij", d, d)
-    return out
+    square = lambda x: np.einsum("ij,ij->i", x, x)
+    return square(a)[:, None] + square(b)[None, :] - 2 * dots(a, b)
+
+
+def least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest values of every row, by value and the columns' ids, row after row."""
+    if k < d.shape[1]:
+        rows, at = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        rows, at = (x.ravel() for x in np.indices(d.shape))
+    order = np.lexsort((ids[at], d[rows, at], rows))
+    rows, at = rows[order], at[order]
+    first = np.searchsorted(rows, np.arange(d.shape[0]))
+    keep = np.arange(rows.size) - first[rows] < k
+    return rows[keep], at[keep]
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -55,8 +80,8 @@ def _matrix(column, dim: int) -> np.ndarray:
 def batch_nearest(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, dist, rank): exact neighbours of many queries (qid, q).
 
-    Each block of queries is broadcast within a byte bound and meets the records where they lie; every batch keeps its
-    own best k, so only k rows a query and batch move to the final ranking.
+    Each block of queries is broadcast within a byte bound and meets the records where they lie; every task keeps its
+    own best k, so only k rows a query and task move to the final ranking.
     """
     dims = queries.agg(F.max(F.size("q")), F.min(F.size("q")), F.count("*")).first()
     if not dims[2] or k <= 0:
@@ -74,16 +99,20 @@ def batch_nearest(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches, shared=shared):
             qid, q = shared.value
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # (query, id, distance) so far
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_numpy()
-                d = distances(q, _matrix(b.column(1), dim))
-                m = min(k, ids.size)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid, m)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], names=["qid", "id", "dist"]
-                )
+                for a in range(0, b.num_rows, BLOCK_ROWS):
+                    part = b.slice(a, BLOCK_ROWS)
+                    ids = part.column(0).to_numpy()
+                    d = distances(q, _matrix(part.column(1), dim))
+                    row, at = least(d, ids, k)
+                    row, id_, dist = (np.concatenate(x) for x in zip(best, (row, ids[at], d[row, at]), strict=True))
+                    order = np.lexsort((id_, dist, row))
+                    row, id_, dist = row[order], id_[order], dist[order]
+                    keep = np.arange(row.size) - np.searchsorted(row, row) < k
+                    best = (row[keep], id_[keep], dist[keep])
+            if best[0].size:
+                yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["qid", "id", "dist"])
 
         part = records.where(F.size("fx") == dim).select(F.col("id").cast("long"), "fx").mapInArrow(run, "qid long, id long, dist long")
         out = part if out is None else out.unionByName(part)
@@ -104,16 +133,16 @@ def tier(records: int) -> str:
     return "brute" if records < BRUTE_BELOW else "signs" if records < SIGNS_BELOW else "cells"
 
 
-def search(records: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k nearest by the path that suits the table's size."""
+def search(records: DataFrame, query: DataFrame, k: int, index=None) -> DataFrame:
+    """The k nearest by the path that suits the table's size.  The last tier needs an ``index`` made before
+    (``cells.build`` or ``cells.load``), as building one costs more than any query; without, it goes by sign bits."""
     from . import cells
 
     path = tier(records.count())
     if path == "brute":
         return nearest(records, query, k).select("id", "dist")
-    if path == "signs":
+    if path == "signs" or index is None:
         return signs_search(records, query, k).select("id", "dist")
-    index = cells.build(records)
     return cells.probe(index, query.withColumn("qid", F.lit(0).cast("long")), k).select("id", "dist")
 
 

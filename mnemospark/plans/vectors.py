@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_point as fx
+from ..functions.lineage import shared_folder
 from ..operators import cells, evaluation, filters, proximity, search
 
 #: Records get a creation time of one hour per id from here on; reads take this time as now.
@@ -50,7 +53,7 @@ def knn_namespace(spark, d):
 
 def knn_batch(spark, d):
     r = records(spark, d)
-    return search.batch_nearest(r, r.where("id < 50").select(F.col("id").alias("qid"), F.col("fx").alias("q")), 10)
+    return search.batch_nearest(r, _asked(r), 10)
 
 
 def knn_self_join(spark, d):
@@ -120,42 +123,75 @@ def hamming(spark, d):
 
 def bq_two_stage(spark, d):
     r = records(spark, d)
-    return search.signs_search(r, query(r), 10, factor=4, least=100)
+    return search.signs_search(r, query(r), 10)
+
+
+def _asked(r: DataFrame) -> DataFrame:
+    """The query set of the registered searches: every record whose id is divisible by 50."""
+    return r.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
+
+
+def _recall(found: DataFrame, gold: DataFrame) -> DataFrame:
+    lists = lambda t, name: t.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias(name))
+    return evaluation.recall_at(lists(found, "found").join(lists(gold, "gold"), "qid"), 10)
 
 
 def cells_all_equals_exact(spark, d):
     r = records(spark, d)
-    index = cells.build(r, 16, iterations=5)
-    return cells.probe(index, r.where("id < 20").select(F.col("id").alias("qid"), F.col("fx").alias("q")), 5, probes=16)
+    index = cells.build(r, 16, probes=16, iterations=5)
+    return cells.probe(index, _asked(r), 5)
+
+
+def _saved(spark, d) -> cells.Cells:
+    """The index of all records with default parameters, written to the shared folder and loaded."""
+    path = f"{shared_folder(spark)}/mnemospark/cells-{uuid.uuid4().hex}"
+    cells.save(cells.build(records(spark, d)), path)
+    return cells.load(spark, path)
 
 
 def cells_probe(spark, d):
-    r = records(spark, d)
-    index = cells.build(r, iterations=5)
-    return cells.probe(index, r.where("id < 20").select(F.col("id").alias("qid"), F.col("fx").alias("q")), 5)
+    return cells.probe(_saved(spark, d), _asked(records(spark, d)), 10)
 
 
 def cells_recall(spark, d):
-    """Recall of cells against exact search, one row."""
+    """Recall at 10 of a saved index as it is probed by default against exact search, one row."""
     r = records(spark, d)
-    q = r.where("id < 20").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
-    index = cells.build(r, iterations=5)
-    lists = lambda t, name: t.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias(name))
-    return evaluation.recall_at(lists(cells.probe(index, q, 5, probes=12), "found").join(lists(search.batch_nearest(r, q, 5), "gold"), "qid"), 5)
+    return _recall(cells_probe(spark, d), search.batch_nearest(r, _asked(r), 10))
+
+
+def cells_recall_holds(spark, d):
+    return cells_recall(spark, d).select((F.col("recall") >= 0.9).alias("holds"), "queries")
+
+
+def cells_changed(spark, d):
+    """An index saved empty, filled before and after it has cells, and with records deleted; all cells are visited."""
+    r = records(spark, d)
+    path = f"{shared_folder(spark)}/mnemospark/cells-{uuid.uuid4().hex}"
+    cells.save(cells.build(r.where("false")), path)
+    cells.insert(spark, path, r.where("id % 3 = 0"))
+    cells.rebuild(spark, path, iterations=3)
+    cells.insert(spark, path, r.where("id % 3 <> 0"))
+    cells.delete(spark, path, r.where("id % 7 = 1").select("id"))
+    index = cells.load(spark, path)
+    return cells.probe(index, _asked(r), 5, probes=len(index.centroids))
 
 
 def graph_search(spark, d):
-    """Layered proximity graphs in shards of 250 records."""
+    """Layered proximity graphs with default parameters, saved and loaded."""
     r = records(spark, d)
-    return proximity.search(proximity.build(r, 250), r.where("id < 20").select(F.col("id").alias("qid"), F.col("fx").alias("q")), 5)
+    path = f"{shared_folder(spark)}/mnemospark/graphs-{uuid.uuid4().hex}"
+    proximity.save(proximity.build(r), path)
+    return proximity.search(proximity.load(spark, path), _asked(r), 10)
 
 
 def graph_recall(spark, d):
-    """Recall of proximity graphs against exact search, one row."""
+    """Recall at 10 of proximity graphs against exact search, one row."""
     r = records(spark, d)
-    q = r.where("id < 20").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
-    lists = lambda t, name: t.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias(name))
-    return evaluation.recall_at(lists(graph_search(spark, d), "found").join(lists(search.batch_nearest(r, q, 5), "gold"), "qid"), 5)
+    return _recall(graph_search(spark, d), search.batch_nearest(r, _asked(r), 10))
+
+
+def graph_recall_holds(spark, d):
+    return graph_recall(spark, d).select((F.col("recall") >= 0.9).alias("holds"), "queries")
 
 
 def product_codes(spark, d):
@@ -216,7 +252,7 @@ def rank_diff(spark, d):
     r = records(spark, d)
     w = W.orderBy("dist", "id")
     ranked = lambda t: search.nearest(t, query(r), 10).withColumn("rank", F.row_number().over(w))
-    return search.rank_difference(ranked(r.where("id < 300")), ranked(r.where("tag <> 1 and id < 400")))
+    return search.rank_difference(ranked(r.where("id % 4 <> 3")), ranked(r.where("tag <> 1")))
 
 
 def recall_at_k(spark, d):
@@ -229,7 +265,7 @@ def recall_at_k(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     knn_exact, knn_tag, knn_namespace, knn_batch, knn_self_join, quantize_trunc, quantize_round, quantize_cluster, dequantize, fx_arithmetic, l2_pairs, l2_float_pairs, dot_pairs, cosine_pairs, similarity_scores, scalar_quant, binarize, hamming,
-    bq_two_stage, cells_all_equals_exact, cells_probe, cells_recall, graph_search, graph_recall, product_codes, auto_search, decay_rerank, decay_zero_halflife, meta_filter_exact, meta_filter_range, meta_filter_missing_key, knn_with_meta_filter, knn_overfetch_filter, rank_diff, recall_at_k,
+    bq_two_stage, cells_all_equals_exact, cells_probe, cells_recall, cells_recall_holds, cells_changed, graph_search, graph_recall, graph_recall_holds, product_codes, auto_search, decay_rerank, decay_zero_halflife, meta_filter_exact, meta_filter_range, meta_filter_missing_key, knn_with_meta_filter, knn_overfetch_filter, rank_diff, recall_at_k,
 )}
 
 _R = f"r AS (SELECT vec_id AS id, embedding AS vec, list_transform(embedding, lambda x: CAST(trunc(x * 65536) AS BIGINT)) AS fx, CAST(label AS BIGINT) AS tag, label % 4 AS namespace_id, {EPOCH} + vec_id * 3600 AS created_at FROM embeddings)"
@@ -256,7 +292,7 @@ def _scored(where: str = "true", q: int = 0) -> str:
     return f"WITH {_R} SELECT id, dist, dist / 4294967296.0 AS score FROM ({_near(where, q)})"
 
 
-_BATCH = "SELECT qid, id, dist, CAST(rank AS INT) AS rank FROM (SELECT q.id AS qid, r.id, {l2} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {l2}, r.id) AS rank FROM r, r q WHERE q.id < {n}) WHERE rank <= {k}"
+_BATCH = "SELECT qid, id, dist, CAST(rank AS INT) AS rank FROM (SELECT q.id AS qid, r.id, {l2} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {l2}, r.id) AS rank FROM r, r q WHERE q.id % 50 = 0 AND {where}) WHERE rank <= {k}"
 _HITS = f"h AS (SELECT n.id, n.dist AS distance, r.created_at FROM ({_near(k=50)}) n JOIN r USING (id))"
 _DECAY = f"greatest({NOW} - created_at, 0) / {HALF_LIFE}.0"
 
@@ -264,7 +300,7 @@ SQL = {
     "knn_exact": _scored(),
     "knn_tag": _scored("r.tag = 1"),
     "knn_namespace": _scored("r.namespace_id = 2", 7),
-    "knn_batch": f"WITH {_R} " + _BATCH.format(l2=_l2("r.fx", "q.fx"), n=50, k=10),
+    "knn_batch": f"WITH {_R} " + _BATCH.format(l2=_l2("r.fx", "q.fx"), where='true', k=10),
     "knn_self_join": f"WITH {_R}, d AS (SELECT q.id AS qid, r.id, {_l2('r.fx', 'q.fx')} AS dist FROM r, r q WHERE r.id <> q.id) SELECT qid, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS n FROM d) WHERE n = 1",
     "quantize_trunc": f"WITH {_R} SELECT id, CAST(sum(x) AS BIGINT) AS sum_fx, CAST(min(x) AS INT) AS min_fx, CAST(max(x) AS INT) AS max_fx FROM (SELECT id, unnest(fx) AS x FROM r) GROUP BY id",
     "quantize_round": "SELECT id, CAST(sum(x) AS BIGINT) AS sum_fx, CAST(min(x) AS INT) AS min_fx, CAST(max(x) AS INT) AS max_fx FROM (SELECT vec_id AS id, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 65536) AS BIGINT) AS x FROM embeddings) GROUP BY id",
@@ -278,8 +314,11 @@ SQL = {
     "similarity_scores": f"WITH {_P}, s AS (SELECT a, b, {_l2('fa', 'fb')} / 4294967296.0 AS s FROM p) SELECT a, b, round(s, 9) AS score, round(1 / (1 + s), 9) AS similarity FROM s",
     "scalar_quant": f"WITH {_R}, c AS (SELECT id, list_transform(vec, lambda x: CAST(trunc((CAST(CASE WHEN x > 1 THEN 1 WHEN x < -1 THEN -1 ELSE x END AS FLOAT) + CAST(1 AS FLOAT)) * CAST(127.5 AS FLOAT)) AS INT)) AS codes FROM r) SELECT id, CAST(list_sum(codes) AS BIGINT) AS code_sum, round(list_sum(list_transform(codes, lambda x: x / 127.5 - 1)), 6) + 0.0 AS back_sum FROM c",
     "hamming": f"WITH {_P} SELECT a, b, {_HAM} AS bits FROM p",
-    "bq_two_stage": f"WITH {_R}, q AS (SELECT fx AS fb FROM r WHERE id = 0), c AS (SELECT id, fx, fb, {_HAM.replace('fa', 'fx')} AS bits FROM r, q ORDER BY bits, id LIMIT 100) SELECT id, bits, {_l2('fx', 'fb')} AS dist FROM c ORDER BY dist, id LIMIT 10",
-    "cells_all_equals_exact": f"WITH {_R} " + _BATCH.format(l2=_l2("r.fx", "q.fx"), n=20, k=5),
+    "bq_two_stage": f"WITH {_R}, q AS (SELECT fx AS fb FROM r WHERE id = 0), c AS (SELECT id, fx, fb, {_HAM.replace('fa', 'fx')} AS bits FROM r, q ORDER BY bits, id LIMIT 400) SELECT id, bits, {_l2('fx', 'fb')} AS dist FROM c ORDER BY dist, id LIMIT 10",
+    "cells_all_equals_exact": f"WITH {_R} " + _BATCH.format(l2=_l2("r.fx", "q.fx"), where='true', k=5),
+    "cells_changed": f"WITH {_R} " + _BATCH.format(l2=_l2("r.fx", "q.fx"), where="r.id % 7 <> 1", k=5),
+    "cells_recall_holds": "SELECT true AS holds, count(*) AS queries FROM embeddings WHERE vec_id % 50 = 0",
+    "graph_recall_holds": "SELECT true AS holds, count(*) AS queries FROM embeddings WHERE vec_id % 50 = 0",
     "auto_search": f"WITH {_R} {_near()}",
     "decay_rerank": f"WITH {_R}, {_HITS} SELECT id, distance, round(pow(0.5, {_DECAY}), 9) AS factor FROM h ORDER BY distance / greatest(pow(0.5, {_DECAY}), 1e-9), id LIMIT 10",
     "decay_zero_halflife": f"WITH {_R}, {_HITS} SELECT id, distance, CAST(1.0 AS DOUBLE) AS factor FROM h ORDER BY distance, id LIMIT 10",
@@ -288,7 +327,7 @@ SQL = {
     "meta_filter_missing_key": "SELECT CAST(0 AS BIGINT) AS absent, CAST(0 AS BIGINT) AS as_text, count(*) AS as_number FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) = 7",
     "knn_with_meta_filter": f"WITH {_R}, m AS (SELECT event_id AS mid FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) < 50), n AS (SELECT r.id, {_l2('r.fx', 'q.fx')} AS dist FROM r JOIN m ON r.id = m.mid, (SELECT fx FROM r WHERE id = 0) q ORDER BY dist, id LIMIT 10) SELECT id, dist, dist / 4294967296.0 AS score FROM n",
     "knn_overfetch_filter": f"WITH {_R}, n AS ({_near(k=100)}) SELECT n.id, dist FROM n JOIN events e ON e.event_id = n.id WHERE CAST(json_extract(props, '$.k') AS DOUBLE) < 10 ORDER BY dist, id LIMIT 5",
-    "rank_diff": f"WITH {_R}, a AS (SELECT id, CAST(row_number() OVER (ORDER BY dist, id) AS INT) AS rank_before FROM ({_near('r.id < 300')})), b AS (SELECT id, CAST(row_number() OVER (ORDER BY dist, id) AS INT) AS rank_after FROM ({_near('r.tag <> 1 AND r.id < 400')})) SELECT id, rank_before, rank_after, CASE WHEN rank_before IS NULL THEN 'entered' WHEN rank_after IS NULL THEN 'left' WHEN rank_before <> rank_after THEN 'shifted' ELSE 'same' END AS change FROM a FULL JOIN b USING (id)",
+    "rank_diff": f"WITH {_R}, a AS (SELECT id, CAST(row_number() OVER (ORDER BY dist, id) AS INT) AS rank_before FROM ({_near('r.id % 4 <> 3')})), b AS (SELECT id, CAST(row_number() OVER (ORDER BY dist, id) AS INT) AS rank_after FROM ({_near('r.tag <> 1')})) SELECT id, rank_before, rank_after, CASE WHEN rank_before IS NULL THEN 'entered' WHEN rank_after IS NULL THEN 'left' WHEN rank_before <> rank_after THEN 'shifted' ELSE 'same' END AS change FROM a FULL JOIN b USING (id)",
     "recall_at_k": f"WITH {_R}, q AS (SELECT fx AS fb FROM r WHERE id = 0), c AS (SELECT id, fx, fb, {_HAM.replace('fa', 'fx')} AS bits FROM r, q ORDER BY bits, id LIMIT 20), f AS (SELECT id FROM (SELECT id, {_l2('fx', 'fb')} AS dist FROM c ORDER BY dist, id LIMIT 10)), g AS (SELECT id FROM ({_near()})) SELECT round(count(*) / 10.0, 6) AS recall, CAST(CASE WHEN count(*) = 10 THEN 1 ELSE 0 END AS DOUBLE) AS complete, CAST(1 AS BIGINT) AS queries FROM f JOIN g USING (id)",
     "binarize": f"WITH {_R}, b AS (SELECT id, {_BITS} AS bits FROM r), u AS (SELECT id, generate_subscripts(bits, 1) - 1 AS i, unnest(bits) AS bit FROM b) SELECT id, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS word, ones FROM (SELECT id, sum(CAST(bit AS HUGEINT) * (CAST(1 AS HUGEINT) << i)) AS s, CAST(sum(bit) AS INT) AS ones FROM u WHERE i < 64 GROUP BY id)",
 }

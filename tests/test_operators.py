@@ -129,21 +129,65 @@ def test_cells_of_all_is_exact(spark, tmp_path):
     q = t.where("id < 5").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
     key = lambda df: sorted((r.qid, r["rank"], r.id, r.dist) for r in df.collect())
     assert key(cells.probe(index, q, 4, probes=16)) == key(search.batch_nearest(t, q, 4))
-    cells.save(index, f"{tmp_path}/cells")
-    assert spark.read.parquet(f"{tmp_path}/cells").count() == 300
+    path = f"{tmp_path}/cells"
+    cells.save(index, path)
+    loaded = cells.load(spark, path)
+    assert loaded.records.count() == 300 and key(cells.probe(loaded, q, 4)) == key(cells.probe(index, q, 4))
+    assert "PartitionFilters: [isnotnull(cell" in loaded.records.where("cell = 3")._jdf.queryExecution().toString()
 
 
-def test_proximity_graphs(spark):
+def test_cells_change(spark, tmp_path):
+    t, path = table(spark), f"{tmp_path}/cells"
+    q = t.where("id < 5").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
+    key = lambda df: sorted((r.qid, r["rank"], r.id, r.dist) for r in df.collect())
+    cells.save(cells.build(t.where("false")), path)
+    assert cells.load(spark, path).records.count() == 0 and cells.probe(cells.load(spark, path), q, 4).count() == 0
+    cells.insert(spark, path, t.where("id < 200"))
+    assert key(cells.probe(cells.load(spark, path), q, 4)) == key(search.batch_nearest(t.where("id < 200"), q, 4))  # before there are cells
+    assert len(cells.rebuild(spark, path).centroids) >= 16
+    cells.insert(spark, path, t.where("id >= 200"))
+    cells.delete(spark, path, t.where("id in (1, 250)").select("id"))
+    left = t.where("id not in (1, 250)")
+    assert key(cells.probe(cells.load(spark, path), q, 4, probes=99)) == key(search.batch_nearest(left, q, 4))
+    assert cells.rebuild(spark, path).records.count() == 298
+
+
+def test_calibrated_recall(spark):
+    t = table(spark, 3000, 16)
+    index = cells.build(t, iterations=5)
+    q = t.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
+    got = {(r.qid, r.id) for r in cells.probe(index, q, 10).collect()}
+    want = {(r.qid, r.id) for r in search.batch_nearest(t, q, 10).collect()}
+    assert len(got & want) >= 0.9 * len(want) and index.probes < len(index.centroids)
+
+
+@pytest.mark.parametrize("top", [1 << 15, 1 << 20, 1 << 30])
+def test_products_are_exact(top):
+    r = np.random.default_rng(top)
+    a, b = (r.integers(-top, top, (40, 7)) for _ in range(2))
+    assert (search.dots(a, b) == a @ b.T).all()
+    d = r.integers(0, 5, (6, 50))
+    ids = r.permutation(50)
+    for k in (1, 7, 50, 60):
+        row, at = search.least(d, ids, k)
+        want = [(i, int(j)) for i in range(6) for j in sorted(range(50), key=lambda j: (d[i, j], ids[j]))[:k]]
+        assert list(zip(row.tolist(), at.tolist())) == want
+
+
+def test_proximity_graphs(spark, tmp_path):
     t = table(spark, 600, 8, high=200)
     q = t.where("id % 30 = 0").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
-    graph_ = proximity.build(t.repartition(5), 200).cache()
-    assert graph_.where("layer = 0").count() == 600 and graph_.select("shard").distinct().count() == 3
-    assert graph_.agg(F.max(F.size("neighbours"))).first()[0] <= proximity.GROUND_LINKS
+    graph_ = proximity.build(t.repartition(5), 200)
+    proximity.save(graph_, f"{tmp_path}/graphs")
+    graph_ = proximity.load(spark, f"{tmp_path}/graphs")
+    g = graph_.table
+    assert g.where("layer = 0").count() == 600 and g.where("layer = 0").groupBy("cell", "shard").count().agg(F.max("count")).first()[0] <= 200
+    assert g.agg(F.max(F.size("neighbours"))).first()[0] <= proximity.GROUND_LINKS
     got = {(r.qid, r.id) for r in proximity.search(graph_, q, 10).collect()}
     want = {(r.qid, r.id) for r in search.batch_nearest(t, q, 10).collect()}
     assert len(got & want) >= 0.9 * len(want)
     assert sorted(map(tuple, proximity.search(graph_, q, 3).collect())) == sorted(map(tuple, proximity.search(proximity.build(t, 200), q, 3).collect()))
-    assert proximity.build(t.where("false")).count() == 0
+    assert proximity.build(t.where("false")).table.count() == 0 and proximity.search(proximity.build(t.where("false")), q, 3).count() == 0
 
 
 def test_decay(spark):
