@@ -7,26 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, drop_cut
+from .components import components as star_components
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id that can be reached, by repeated minima over links and labels of labels."""
-    links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("id", F.col("id").alias("component"))
-    before = None
-    for _ in range(rounds):
-        near = links.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        moved = labels.join(near, labels.id == near.a, "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
-        hop = moved.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        labels = moved.join(hop, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"))
-        labels = cut(labels, "labels")
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return labels
-        before = now
-    raise RuntimeError("components did not settle")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of every node: the smallest id that can be reached over edges between nodes."""
+    known = nodes.select("id")
+    links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")
+    found = star_components(links)
+    return known.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def propagate(ids: list[int], links: list[tuple[int, int]], rounds: int = 20) -> dict[int, int]:
@@ -53,15 +43,16 @@ def propagate(ids: list[int], links: list[tuple[int, int]], rounds: int = 20) ->
     return label
 
 
-def detect(nodes: DataFrame, edges: DataFrame, rounds: int = 20, largest: int = 5_000_000) -> DataFrame:
+def detect(nodes: DataFrame, edges: DataFrame, rounds: int = 20, largest: int = 5_000_000, namespace: int | None = None) -> DataFrame:
     """(id, community).  Labels travel along edges only, so every connected component is settled on its own, many at
-    once; a component over ``largest`` nodes and edges is refused rather than brought into one task."""
-    comp = components(nodes, edges)
-    own = edges.select("src", "dst").join(comp.select(F.col("id").alias("src"), "component"), "src")
+    once, by sweeps in id order.  A component of more than ``largest`` nodes and edges doesn't fit one task; its labels
+    are settled by ``propagate_wide``.  A ``namespace`` other than 0 leaves the nodes of the others out."""
+    if namespace:
+        nodes = nodes.where(F.col("namespace_id") == namespace)
+    comp = cut(components(nodes, edges), "components")
+    own = edges.select("src", "dst").join(comp.select(F.col("id").alias("src"), "component"), "src").join(comp.select(F.col("id").alias("dst")), "dst", "left_semi")
     rows = comp.select("component", F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(own.select("component", F.col("src").alias("a"), F.col("dst").alias("b")))
-    big = rows.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if big > largest:
-        raise ValueError(f"a component has {big} nodes and edges; at most {largest} are settled in one task")
+    big = [r["component"] for r in rows.groupBy("component").count().where(F.col("count") > largest).collect()]  # few: each has over ``largest`` rows
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         alone = pdf["b"].isna()
@@ -69,7 +60,32 @@ def detect(nodes: DataFrame, edges: DataFrame, rounds: int = 20, largest: int =
         out = propagate(pdf["a"][alone].astype("int64").tolist(), links, rounds)
         return pd.DataFrame({"id": list(out), "community": list(out.values())})
 
-    return rows.groupBy("component").applyInPandas(settle, "id long, community long")
+    small = rows.where(~F.col("component").isin(big)) if big else rows
+    out = small.groupBy("component").applyInPandas(settle, "id long, community long")
+    if big:
+        wide = rows.where(F.col("component").isin(big))
+        out = out.unionByName(propagate_wide(wide.where("b is null").select(F.col("a").alias("id")), wide.where("b is not null").select("a", "b"), rounds))
+    return out
+
+
+def propagate_wide(nodes: DataFrame, links: DataFrame, rounds: int = 20) -> DataFrame:
+    """(id, community) of nodes (id) over links (a, b) by joins: in every round the even half of a hash of the ids takes
+    the labels most frequent among its neighbours (the smallest of equals, a loop counting twice), then the odd half;
+    until nothing changes or the rounds are over.  Halves in turn keep labels from swapping for ever."""
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    label = cut(nodes.select("id", F.col("id").alias("community")), "labels")
+    for _ in range(rounds):
+        moved = 0
+        for half in (0, 1):
+            votes = both.where(F.pmod(F.xxhash64("a"), F.lit(2)) == half).join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
+            best = votes.groupBy("a").agg(F.max(F.struct("n", (-F.col("community")).alias("least"))).alias("v")).select(F.col("a").alias("id"), (-F.col("v.least")).alias("best"))
+            now = cut(label.join(best, "id", "left").select("id", F.coalesce("best", "community").alias("community"), (F.coalesce("best", "community") != F.col("community")).alias("moved")), "labels")
+            moved += now.where("moved").count()
+            drop_cut(label)
+            label = now
+        if not moved:
+            break
+    return label.select("id", "community")
 
 
 def centroids(assignments: DataFrame, nodes: DataFrame, records: DataFrame) -> DataFrame:
@@ -87,11 +103,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def search(store: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """(community, similarity, members) of the k communities nearest to the query row (q), by similarity and id."""
+def search(store: DataFrame, query: DataFrame, k: int, assignments: DataFrame | None = None, sample: int = 20) -> DataFrame:
+    """(community, similarity, members) of the k communities nearest to the query row (q), by similarity and id; with
+    ``assignments`` also ``first``, the smallest ``sample`` member ids."""
     found = store.where("centroid is not null").crossJoin(F.broadcast(query.limit(1))).where(F.size("centroid") == F.size("q"))
     sim = cosine(F.col("centroid"), F.transform("q", lambda x: x.cast("double")))
-    return found.select("community", sim.alias("similarity"), "members").orderBy(F.desc("similarity"), "community").limit(k)
+    top = found.select("community", sim.alias("similarity"), "members").orderBy(F.desc("similarity"), "community").limit(k)
+    if assignments is None:
+        return top
+    first = overview(assignments.join(F.broadcast(top.select("community")), "community", "left_semi"), sample).select("community", "first")
+    return top.join(first, "community", "left").orderBy(F.desc("similarity"), "community")
 
 
 def overview(assignments: DataFrame, sample: int = 10) -> DataFrame:

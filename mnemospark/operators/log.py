@@ -77,7 +77,10 @@ def fold(log: DataFrame) -> State:
     r = inserts
     for side in (soft, hard, update):
         r = r.join(side.withColumnRenamed("record_id", "id"), "id", "left")
-    r = r.join(drops, "namespace_id", "left").join(shred, "key_id", "left")
+    drops = F.broadcast(drops)  # a row a namespace, MAX_NAMESPACES at most
+    r = r.join(drops, "namespace_id", "left")
+    # records without a key would all meet in one task
+    r = r.where("key_id is not null").join(shred, "key_id", "left").unionByName(r.where("key_id is null").withColumn("shred_at", F.lit(None).cast("long")))
     after = lambda c: F.coalesce(F.col(c) > F.col("born"), F.lit(False))
     shredded = F.col("encrypted") & after("shred_at")
     flags = F.when(after("SoftDelete_at"), SOFT).otherwise(0) + F.when(F.col("encrypted"), ENCRYPTED).otherwise(0) + F.when(shredded, SHREDDED).otherwise(0)
@@ -156,6 +159,19 @@ def rejects(log: DataFrame, dim: int | None = None) -> DataFrame:
     return numbered.select("log_index", reason.alias("reason")).where("reason is not null")
 
 
+def node_rejects(log: DataFrame) -> DataFrame:
+    """(log_index, reason) of CreateNode events that name a record which isn't alive in the node's namespace by then."""
+    made = log.where("event_type = 'CreateNode' and record_id is not null").select("log_index", F.col("namespace_id").alias("ns"), "record_id")
+    born = log.where(F.col("event_type").isin("InsertRecord", "InsertEncrypted")).groupBy("record_id").agg(F.min_by(F.struct("log_index", "namespace_id"), "log_index").alias("r")).select("record_id", F.col("r.log_index").alias("born"), F.col("r.namespace_id").alias("home"))
+    gone = log.where("event_type = 'HardDelete'").join(born, "record_id").where("log_index > born").groupBy("record_id").agg(F.min("log_index").alias("gone"))
+    drops = log.where("event_type = 'DropNamespace' and namespace_id <> 0").groupBy(F.col("namespace_id").alias("home")).agg(F.sort_array(F.collect_set("log_index")).alias("drops"))
+    j = made.join(born, "record_id", "left").join(gone, "record_id", "left").join(F.broadcast(drops), "home", "left")
+    dropped = F.exists(F.coalesce("drops", F.array().cast("array<long>")), lambda x: (x > F.col("born")) & (x < F.col("log_index")))
+    alive = (F.col("born") < F.col("log_index")) & ~F.coalesce(F.col("gone") < F.col("log_index"), F.lit(False)) & ~dropped
+    why = F.when(~F.coalesce(alive, F.lit(False)), "record").when(F.col("home") != F.col("ns"), "namespace")
+    return j.select("log_index", why.alias("reason")).where("reason is not null")
+
+
 def difference(log: DataFrame, a: int, b: int) -> DataFrame:
     """(name, before, after): counts of live records, nodes, edges and meta keys at two indexes, and events between."""
     one, two = fold(log.where(F.col("log_index") <= a)), fold(log.where(F.col("log_index") <= b))

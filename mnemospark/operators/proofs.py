@@ -28,6 +28,22 @@ def section_receipt(previous: Column, query: Column, visited: Column, ranges: Co
     return F.struct(q.alias("query_hash"), visited.alias("visited"), ranges.alias("ranges"), e.alias("evidence_hash"), a.alias("answer_hash"), previous.alias("prev_hash"), receipt_hash(previous, q, visited, ranges, e, a).alias("receipt_hash"))
 
 
+INSERT_FIELDS = ("log_index", "namespace_id", "record_id", "vector_root", "metadata_hash", "prev_hash")
+
+
+def insert_receipts(log: DataFrame, previous: str = GENESIS) -> DataFrame:
+    """One receipt for every inserted record: its place in the log, the root over its vector, the hash of its metadata,
+    and a hash over all of these and ``previous``."""
+    root = F.coalesce(merkle_root(F.col("fx")), F.lit(""))
+    own = log.where("event_type = 'InsertRecord'").select("log_index", "namespace_id", "record_id", root.alias("vector_root"), F.sha2(F.coalesce("metadata", F.lit("")), 256).alias("metadata_hash"), F.lit(previous).alias("prev_hash"))
+    return own.withColumn("receipt_hash", row_digest(*INSERT_FIELDS))
+
+
+def broken_insert_receipts(receipts: DataFrame) -> DataFrame:
+    """The receipts whose own hash doesn't follow from their fields."""
+    return receipts.where(~F.coalesce(F.col("receipt_hash") == row_digest(*INSERT_FIELDS), F.lit(False)))
+
+
 def row_digest(*columns: str) -> Column:
     return F.sha2(F.concat_ws(SEPARATOR, *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import community, graph, log, proofs, search
+from ..operators import community, evaluation, graph, log, proofs, search
 from .vectors import _P, _R, _dot, _l2, query, records
 
 #: Indexes at which the past is read, as shares of the table's events.
@@ -181,17 +181,65 @@ def contradict_pairs(spark, d):
 
 
 def consolidate(spark, d):
-    r = records(spark, d).where("id < 40")
+    r = records(spark, d)
     asked = r.select(F.col("id").alias("n"), (F.col("id") * 2).alias("old_record"), F.col("fx").alias("new_fx"), F.col("namespace_id").cast("int"))
     return graph.consolidate(asked, 1000, 2000, 3000, 5000).select("log_index", "event_type", "record_id", "node_id", "edge_id", "kind", "src", "dst")
 
 
 def memory_upsert(spark, d):
-    r = records(spark, d).where("id < 40")
+    r = records(spark, d)
     asked = r.select(F.col("id").alias("n"), "fx", F.lit("{}").alias("metadata"), F.when(F.col("id") % 2 == 0, F.col("id") + 90_000).alias("document_node"), F.col("namespace_id").cast("int"))
     return graph.upsert(asked, 1000, 2000, 3000, 5000).select("log_index", "event_type", "record_id", "node_id", "edge_id", "src", "dst", "key")
 
 
+def node_rejects(spark, d):
+    return log.node_rejects(event_log(spark, d))
+
+
+def shred_keys(spark, d):
+    """The log with every third insert encrypted under one of 40 keys, of which every fourth is shredded afterwards."""
+    l = event_log(spark, d)
+    hidden = (F.col("event_type") == "InsertRecord") & (F.col("log_index") % 3 == 0)
+    l = l.withColumn("key_id", F.when(hidden, F.concat(F.lit("k"), (F.col("log_index") % 40).cast("string")))).withColumn("event_type", F.when(hidden, "InsertEncrypted").otherwise(F.col("event_type")))
+    last = l.agg(F.max("log_index")).first()[0] or 0
+    keys = spark.range(0, 40, 4).select((F.col("id") + last + 1).alias("log_index"), F.lit(0).cast("long").alias("ts"), F.lit(0).alias("namespace_id"), F.lit("ShredKey").alias("event_type"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key_id"))
+    return log.fold(l.unionByName(keys, allowMissingColumns=True)).records.select("id", "flags", "metadata")
+
+
+def insert_receipts(spark, d):
+    v = records(spark, d).select(F.col("id").alias("record_id"), F.col("fx").alias("own"))
+    l = event_log(spark, d).join(v, "record_id", "left").withColumn("fx", F.col("own"))
+    return proofs.insert_receipts(l).select("record_id", "metadata_hash", "receipt_hash")
+
+
+def insert_receipts_broken(spark, d):
+    """Receipts of which those of every hundredth record have been changed."""
+    r = proofs.insert_receipts(event_log(spark, d))
+    return proofs.broken_insert_receipts(r.withColumn("namespace_id", F.when(F.col("record_id") % 100 == 5, 9).otherwise(F.col("namespace_id")))).select("record_id")
+
+
+def citation_rates(spark, d):
+    """Answers that cite two records each, some of which don't exist or have no node."""
+    n, _ = talk_graph(spark, d)
+    r = records(spark, d).select("id")
+    answers = r.select(F.col("id").alias("qid"), F.array(F.col("id"), F.col("id") * 2).alias("cited"))
+    return evaluation.citations(answers, r, n).select(F.round("existence", 6).alias("existence"), F.round("provenance", 6).alias("provenance"), "citations")
+
+
+def community_members(spark, d):
+    """The nearest communities with their first twenty members."""
+    a, n = _communities(spark, d)
+    q = records(spark, d).where("id = 0").select(F.col("vec").alias("q"))
+    return community.search(community.centroids(a, n, records(spark, d)), q, 5, a).select("community", "members", "first")
+
+
+def community_scope(spark, d):
+    """Components of one namespace's nodes, as communities are found inside them."""
+    n, e = talk_graph(spark, d)
+    found = community.detect(n, e, namespace=2)
+    return found.agg(F.count("*").alias("nodes"), F.count_if(F.floor(F.col("community") / 1000) != F.floor(F.col("id") / 1000)).alias("astray"))
+
+
 def resolve_entities(spark, d):
     c = spark.read.parquet(f"{d}/nation.parquet")
     e = c.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("id"))
@@ -296,7 +344,7 @@ def recall_receipt(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     log_fold, log_nodes, log_meta, as_of_index, as_of_time, timeline_range, event_counts, request_dedup, state_diff, soft_vs_hard_delete, drop_namespace, insert_rejects, pool_stats, shard_routing, build_nodes_edges, node_edges, subgraph_bfs,
-    subgraph_edges, walk, expand, cascade_delete, graphrag, contradict_pairs, consolidate, memory_upsert, resolve_entities, community_detect, community_components, community_centroid, community_search, community_overview, community_receipt,
+    subgraph_edges, walk, expand, cascade_delete, graphrag, contradict_pairs, consolidate, memory_upsert, node_rejects, shred_keys, insert_receipts, insert_receipts_broken, citation_rates, community_members, community_scope, resolve_entities, community_detect, community_components, community_centroid, community_search, community_overview, community_receipt,
     vector_merkle, state_hash, log_chain, log_chain_verify, receipt_chain_verify, recall_receipt,
 )}
 
@@ -356,14 +404,28 @@ SQL = {
     "cascade_delete": f"WITH {_TALK}, g AS (SELECT id FROM n WHERE kind = 5 AND id % 3000 = 0) SELECT (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM g)) AS nodes, (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)) AS edges",
     "graphrag": f"WITH {_R}, {_TALK}, hit AS (SELECT r.id, {_l2('r.fx', 'q.fx')} AS dist FROM r, (SELECT fx FROM r WHERE id = 0) q ORDER BY dist, r.id LIMIT 10), {_reach('SELECT min(n.id) FROM n JOIN hit ON hit.id = n.record_id GROUP BY n.record_id', 2)} SELECT id, dist FROM near",
     "contradict_pairs": f"WITH {_P}, c AS (SELECT a, b, {_dot('fa', 'fb')} / (sqrt(CAST({_dot('fa', 'fa')} AS DOUBLE)) * sqrt(CAST({_dot('fb', 'fb')} AS DOUBLE))) AS s FROM p) SELECT a, b, round(s, 9) AS similarity FROM c WHERE s >= 0.3",
-    "consolidate": """WITH n AS (SELECT vec_id AS n FROM embeddings WHERE vec_id < 40), x AS (SELECT n, unnest(range(5)) AS j FROM n) SELECT 5000 + n * 5 + j AS log_index, ['SoftDelete', 'InsertRecord', 'CreateNode', 'CreateNode', 'CreateEdge'][j + 1] AS event_type, CASE WHEN j IN (0, 2) THEN n * 2 WHEN j IN (1, 3) THEN 1000 + n END AS record_id, CASE j WHEN 2 THEN 2000 + n * 2 WHEN 3 THEN 2001 + n * 2 END AS node_id, CASE WHEN j = 4 THEN 3000 + n END AS edge_id, CASE WHEN j IN (2, 3) THEN 0 WHEN j = 4 THEN 7 END AS kind, CASE WHEN j = 4 THEN 2001 + n * 2 END AS src, CASE WHEN j = 4 THEN 2000 + n * 2 END AS dst FROM x""",
-    "memory_upsert": """WITH n AS (SELECT vec_id AS n FROM embeddings WHERE vec_id < 40), x AS (SELECT n, unnest(range(4)) AS j FROM n) SELECT 5000 + n * 4 + j AS log_index, ['InsertRecord', 'CreateNode', 'CreateEdge', 'SetMeta'][j + 1] AS event_type, CASE WHEN j < 2 THEN 1000 + n END AS record_id, CASE WHEN j = 1 THEN 2000 + n END AS node_id, CASE WHEN j = 2 THEN 3000 + n END AS edge_id, CASE WHEN j = 2 THEN n + 90000 END AS src, CASE WHEN j = 2 THEN 2000 + n END AS dst, CASE WHEN j = 3 THEN 'rec:' || (1000 + n) END AS key FROM x WHERE j <> 2 OR n % 2 = 0""",
+    "consolidate": """WITH n AS (SELECT vec_id AS n FROM embeddings), x AS (SELECT n, unnest(range(5)) AS j FROM n) SELECT 5000 + n * 5 + j AS log_index, ['SoftDelete', 'InsertRecord', 'CreateNode', 'CreateNode', 'CreateEdge'][j + 1] AS event_type, CASE WHEN j IN (0, 2) THEN n * 2 WHEN j IN (1, 3) THEN 1000 + n END AS record_id, CASE j WHEN 2 THEN 2000 + n * 2 WHEN 3 THEN 2001 + n * 2 END AS node_id, CASE WHEN j = 4 THEN 3000 + n END AS edge_id, CASE WHEN j IN (2, 3) THEN 0 WHEN j = 4 THEN 7 END AS kind, CASE WHEN j = 4 THEN 2001 + n * 2 END AS src, CASE WHEN j = 4 THEN 2000 + n * 2 END AS dst FROM x""",
+    "memory_upsert": """WITH n AS (SELECT vec_id AS n FROM embeddings), x AS (SELECT n, unnest(range(4)) AS j FROM n) SELECT 5000 + n * 4 + j AS log_index, ['InsertRecord', 'CreateNode', 'CreateEdge', 'SetMeta'][j + 1] AS event_type, CASE WHEN j < 2 THEN 1000 + n END AS record_id, CASE WHEN j = 1 THEN 2000 + n END AS node_id, CASE WHEN j = 2 THEN 3000 + n END AS edge_id, CASE WHEN j = 2 THEN n + 90000 END AS src, CASE WHEN j = 2 THEN 2000 + n END AS dst, CASE WHEN j = 3 THEN 'rec:' || (1000 + n) END AS key FROM x WHERE j <> 2 OR n % 2 = 0""",
     "resolve_entities": "SELECT CAST(sum(n_nationkey) FILTER (n_nationkey % 5 <> 0) AS BIGINT) AS src, CAST(sum(n_nationkey) FILTER (n_nationkey % 5 <> 0) AS BIGINT) AS dst, count(*) FILTER (n_nationkey % 5 <> 0) AS linked, count(*) FILTER (n_nationkey % 5 = 0) AS skipped FROM nation",
     "community_components": f"WITH {_COMM} SELECT id, community AS component FROM cm",
     "community_centroid": f"WITH {_MEAN} SELECT community, members, round(t, 6) AS total FROM sz LEFT JOIN (SELECT community, sum(m) AS t FROM mn GROUP BY community) USING (community)",
     "community_search": f"WITH {_MEAN}, q AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM embeddings WHERE vec_id = 0), s AS (SELECT community, sum(m * CAST(x AS DOUBLE)) / (greatest(sqrt(sum(m * m)), 1e-9) * greatest(sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 1e-9)) AS sim FROM mn JOIN q USING (j) GROUP BY community) SELECT community, round(sim, 6) AS similarity, members FROM s JOIN sz USING (community) ORDER BY sim DESC, community LIMIT 5",
     "community_overview": f"WITH {_COMM}, r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS k FROM cm) SELECT community, count(*) AS members, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (k <= 10) AS first FROM r GROUP BY community",
     "community_receipt": f"WITH {_COMM}, p AS (SELECT id // 100000 AS part, sha256(string_agg(id || ':' || community, ',' ORDER BY id)) AS h FROM cm GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY part)) AS receipt FROM p",
+    "node_rejects": f"""WITH {_LOG}, b AS (SELECT rec, min(log_index) AS born, arg_min(ns, log_index) AS home FROM l WHERE event_type = 'InsertRecord' GROUP BY rec),
+m AS (SELECT l.log_index, l.ns, l.rec, born, home FROM l LEFT JOIN b ON b.rec = l.rec WHERE event_type = 'CreateNode'),
+w AS (SELECT m.*, EXISTS (SELECT 1 FROM l h WHERE h.event_type = 'HardDelete' AND h.rec = m.rec AND h.log_index > born AND h.log_index < m.log_index) OR EXISTS (SELECT 1 FROM l x WHERE x.event_type = 'DropNamespace' AND x.ns <> 0 AND x.ns = home AND x.log_index > born AND x.log_index < m.log_index) AS dead FROM m)
+SELECT log_index, CASE WHEN born IS NULL OR born >= log_index OR dead THEN 'record' ELSE 'namespace' END AS reason FROM w WHERE born IS NULL OR born >= log_index OR dead OR home <> ns""",
+    "shred_keys": f"""WITH {_LOG}, {_fold()} SELECT rec.id, flags + CASE WHEN born % 3 = 0 THEN 2 + CASE WHEN (born % 40) % 4 = 0 THEN 4 ELSE 0 END ELSE 0 END AS flags, CASE WHEN born % 3 = 0 AND (born % 40) % 4 = 0 THEN NULL ELSE metadata END AS metadata FROM rec JOIN (SELECT id, born FROM ins) USING (id)""",
+    "insert_receipts_broken": f"WITH {_LOG} SELECT rec AS record_id FROM l WHERE event_type = 'InsertRecord' AND rec % 100 = 5",
+    "citation_rates": f"""WITH {_TALK}, c AS (SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id * 2 FROM embeddings), j AS (SELECT id, id IN (SELECT vec_id FROM embeddings) AS there, id IN (SELECT record_id FROM n WHERE record_id IS NOT NULL) AS linked FROM c)
+SELECT round(count(*) FILTER (there) / CAST(count(*) AS DOUBLE), 6) AS existence, round(count(*) FILTER (there AND linked) / CAST(count(*) FILTER (there) AS DOUBLE), 6) AS provenance, count(*) AS citations FROM j""",
+    "community_scope": f"WITH {_TALK} SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS astray FROM n WHERE ns = 2",
+    "community_members": f"WITH {_MEAN}, q AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM embeddings WHERE vec_id = 0), s AS (SELECT community, sum(m * CAST(x AS DOUBLE)) / (greatest(sqrt(sum(m * m)), 1e-9) * greatest(sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 1e-9)) AS sim FROM mn JOIN q USING (j) GROUP BY community), t AS (SELECT community FROM s ORDER BY sim DESC, community LIMIT 5), k AS (SELECT cm.*, row_number() OVER (PARTITION BY community ORDER BY id) AS k FROM cm JOIN t USING (community)) SELECT community, count(*) AS members, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (k <= 20) AS first FROM k GROUP BY community",
+    "log_chain": f"""WITH RECURSIVE {_LOG}, dg AS (SELECT log_index AS i, log_index // 1000 AS segment, sha256(log_index || chr(31) || ts || chr(31) || event_type || chr(31) || coalesce(CAST(rec AS VARCHAR), chr(0)) || chr(31) || coalesce(CASE WHEN event_type = 'SetMeta' THEN key END, chr(0))) AS g FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY i) AS k, count(*) OVER (PARTITION BY segment) AS length FROM dg),
+c AS (SELECT segment, k, length, sha256(repeat('0', 64) || chr(31) || g) AS h FROM r WHERE k = 1 UNION ALL SELECT r.segment, r.k, r.length, sha256(c.h || chr(31) || r.g) FROM c JOIN r ON r.segment = c.segment AND r.k = c.k + 1)
+SELECT segment, h AS head, length FROM c WHERE k = length""",
     "state_hash": f"WITH {_LOG}, {_fold()}, h AS (SELECT id, sha256(id || chr(31) || namespace_id || chr(31) || tag || chr(31) || flags || chr(31) || coalesce(metadata, chr(0))) AS h FROM rec), p AS (SELECT id // 100000 AS part, sha256(string_agg(h, '' ORDER BY id)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY part)) AS state_hash FROM p",
     "log_chain_verify": "SELECT CAST(0 AS BIGINT) AS segment, i, 'digest' AS reason FROM (SELECT unnest([123, 777]) AS i)",
     "receipt_chain_verify": "SELECT false AS valid, CAST(17 AS BIGINT) AS broken_at",
@@ -380,3 +442,5 @@ def _merkle() -> str:
 
 
 SQL["vector_merkle"] = _merkle()
+SQL["insert_receipts"] = _merkle().replace(" SELECT id, h AS root FROM m6", "") + f""", {_LOG}, x AS (SELECT log_index, ns, rec, coalesce(h, '') AS root, sha256(coalesce(props, '')) AS metadata_hash FROM l LEFT JOIN m6 ON m6.id = rec WHERE event_type = 'InsertRecord')
+SELECT rec AS record_id, metadata_hash, sha256(log_index || chr(31) || ns || chr(31) || rec || chr(31) || root || chr(31) || metadata_hash || chr(31) || repeat('0', 64)) AS receipt_hash FROM x"""

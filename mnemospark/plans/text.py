@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, ingest, search, tree
+from ..operators import bm25, chunking, ingest, log, search, tree
 from ..sources import files
 from .vectors import _R, _l2, query, records
 
@@ -166,6 +166,25 @@ def diff_ingest(spark, d):
     return ingest.difference(old, chunking.fixed(edited)).groupBy("doc_id", "action").agg(F.sum("n").alias("n"))
 
 
+def _numbered(spark, d) -> DataFrame:
+    """The documents' windows with a record number each, in order of document and window."""
+    c = chunking.fixed(documents(spark, d).where("doc_id is not null"))
+    return log.number(c.withColumn("at", F.col("doc_id") * ingest.CHUNKS + F.col("idx")), "at", "record_id", 1000 * ingest.CHUNKS)
+
+
+def ingest_events(spark, d):
+    """The log events that write the documents' windows with zero vectors."""
+    c = chunking.fixed(documents(spark, d).where("doc_id is not null"))
+    own = c.select("doc_id", "idx", F.array().cast("array<int>").alias("fx"), F.col("content_hash").alias("metadata"), (F.col("doc_id") % 4).cast("int").alias("namespace_id"))
+    return ingest.events(own, 100, 200, 300, 400).select("log_index", "event_type", "namespace_id", "record_id", "node_id", "edge_id", "kind", "src", "dst", "key", "value")
+
+
+def diff_events(spark, d):
+    """The soft deletes of an edited version."""
+    edited = documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("A first line that is new.\n"), "text")).otherwise(F.col("text")).alias("text"))
+    return ingest.removal_events(ingest.changes(_numbered(spark, d), chunking.fixed(edited.where("doc_id is not null"))), 5000)
+
+
 def diff_lines(spark, d):
     """The same difference over the lines of two halves of the documents, as multisets."""
     lines = lambda t: t.select((F.col("doc_id") % 10).alias("doc_id"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l")).select("doc_id", F.sha2("l", 256).alias("content_hash"))
@@ -187,7 +206,7 @@ def encrypted_round_trip(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     bm25_stats, bm25_document_frequency, bm25_rank, hybrid_rerank, tokens_bm25, tokens_tree, chunk_fixed, chunk_sentence, chunk_tree, chunk_conversation, chunk_auto, detect_strategy, split_paragraphs, split_sentences, tree_build, tree_rank,
-    tree_rank_normalised, tree_answer, tree_hybrid, html_text, html_title, markdown_text, format_dispatch, document_validation, ingest_pipeline, embed_hash, diff_ingest, diff_lines, batch_insert, encrypted_round_trip,
+    tree_rank_normalised, tree_answer, tree_hybrid, html_text, html_title, markdown_text, format_dispatch, document_validation, ingest_pipeline, ingest_events, diff_events, embed_hash, diff_ingest, diff_lines, batch_insert, encrypted_round_trip,
 )}
 
 _TOK = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: strlen(t) >= 2)"
@@ -323,6 +342,21 @@ SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n, CAST(coalesce(chars, 0) AS INT)
     "embed_hash": """WITH h AS (SELECT item_id, sha256(unhex(sha256(coalesce(text, ''))) || unhex('00000000')) || sha256(unhex(sha256(coalesce(text, ''))) || unhex('01000000')) AS x FROM benchmark),
 b AS (SELECT item_id, list_transform(range(40), lambda k: CAST((16 * (instr('0123456789abcdef', x[2 * k + 1]) - 1) + instr('0123456789abcdef', x[2 * k + 2]) - 1) / 127.5 - 1.0 AS FLOAT)) AS v FROM h)
 SELECT item_id, round(list_sum(list_transform(v, lambda e: CAST(e AS DOUBLE))), 4) AS total FROM b""",
+    "ingest_events": f"""WITH {_win('', '(SELECT * FROM documents WHERE doc_id IS NOT NULL)')}, r AS (SELECT *, dense_rank() OVER (ORDER BY doc_id) - 1 AS g, row_number() OVER (ORDER BY doc_id, s) - 1 AS n, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM ck),
+f AS (SELECT doc_id, 200 + g + n AS parent FROM r WHERE k = 1),
+e AS (SELECT 400 + g + n * 4 AS log_index, 'CreateNode' AS event_type, doc_id, NULL AS record_id, 200 + g + n AS node_id, NULL AS edge_id, 5 AS kind, NULL AS src, NULL AS dst, NULL AS key, NULL AS value FROM r WHERE k = 1
+UNION ALL SELECT 401 + g + n * 4, 'InsertRecord', doc_id, 100 + n, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r
+UNION ALL SELECT 402 + g + n * 4, 'CreateNode', doc_id, 100 + n, 201 + g + n, NULL, 6, NULL, NULL, NULL, NULL FROM r
+UNION ALL SELECT 403 + g + n * 4, 'CreateEdge', doc_id, NULL, NULL, 300 + n, 6, parent, 201 + g + n, NULL, NULL FROM r JOIN f USING (doc_id)
+UNION ALL SELECT 404 + g + n * 4, 'SetMeta', doc_id, NULL, NULL, NULL, NULL, NULL, NULL, 'record:' || (100 + n), sha256(text) FROM r)
+SELECT log_index, event_type, CAST(doc_id % 4 AS INT) AS namespace_id, record_id, node_id, edge_id, CAST(kind AS INT) AS kind, src, dst, key, value FROM e""",
+    "diff_events": f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A first line that is new.' || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id IS NOT NULL), {_win('o', '(SELECT * FROM documents WHERE doc_id IS NOT NULL)')}, {_win('n', 'e')},
+a AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (ORDER BY doc_id, s) - 1 AS record_id, row_number() OVER (PARTITION BY doc_id, sha256(text) ORDER BY s) AS k FROM cko),
+b AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY doc_id, sha256(text) ORDER BY s) AS k FROM ckn)
+SELECT 4999 + row_number() OVER (ORDER BY record_id) AS log_index, 'SoftDelete' AS event_type, record_id FROM a ANTI JOIN b USING (doc_id, h, k)""",
+    "html_text": f"""WITH h AS (SELECT page_id, regexp_extract(html, '<meta name="author" content="([^"]*)"', 1) AS author, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?si)<(script|style|noscript|title)[^>]*>.*?</(script|style|noscript|title)>', '', 'g'), '<[^>]*>', chr(1), 'g') AS t FROM pages),
+p AS (SELECT page_id, author, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1)), lambda x: {_TRIM.format('x')}), lambda x: x <> ''), ' ') AS body FROM h)
+SELECT page_id, CAST(length(body) AS INT) AS chars, sha256(body) AS digest, nullif(author, '') AS author FROM p""",
     "diff_ingest": f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'One more line that is new.' ELSE text END AS text FROM documents), {_win('o', 'documents')}, {_win('n', 'e')},
 c AS (SELECT doc_id, sha256(text) AS h, count(*) FILTER (old) AS a, count(*) FILTER (NOT old) AS b FROM (SELECT doc_id, text, true AS old FROM cko UNION ALL SELECT doc_id, text, false FROM ckn) GROUP BY ALL),
 u AS (SELECT doc_id, 'keep' AS action, least(a, b) AS n FROM c UNION ALL SELECT doc_id, 'add', greatest(b - a, 0) FROM c UNION ALL SELECT doc_id, 'remove', greatest(a - b, 0) FROM c)

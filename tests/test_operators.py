@@ -389,8 +389,27 @@ def test_label_propagation(spark):
     n = spark.createDataFrame([(i, 0, i, 0) for i in nodes], "id long, kind int, record_id long, namespace_id int")
     e = spark.createDataFrame([(k, 0, a, b) for k, (a, b) in enumerate(links)], "id long, kind int, src long, dst long")
     assert {x.id: x.community for x in community.detect(n, e).collect()} == community.propagate(nodes, links)
-    with pytest.raises(ValueError):
-        community.detect(n, e, largest=3)
+    # components over the limit are settled by joins, halves of the ids in turn
+    half = {x.id: x.h for x in n.select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("h")).collect()}
+    near, comp = {i: [] for i in nodes}, {i: i for i in nodes}
+    for a, b in links:
+        near[a].append(b)
+        near[b].append(a)
+    for _ in nodes:
+        comp = {i: min([comp[i], *(comp[j] for j in near[i])]) for i in nodes}
+    size = {c: sum(comp[i] == c for i in nodes) + sum(comp[a] == c for a, _ in links) for c in set(comp.values())}
+    label = {i: i for i in nodes}
+    for _ in range(20):
+        for h in (0, 1):
+            now = dict(label)
+            for i in nodes:
+                if near[i] and half[i] == h:
+                    votes = [label[j] for j in near[i]]
+                    now[i] = min(set(votes), key=lambda c: (-votes.count(c), c))
+            label = now
+    want = {i: label[i] if size[comp[i]] > 6 else c for i, c in community.propagate(nodes, links).items()}
+    assert {x.id: x.community for x in community.detect(n, e, largest=6).collect()} == want
+    assert community.detect(n.withColumn("namespace_id", (F.col("id") % 2).cast("int")), e, namespace=1).count() == 25
     assert community.propagate([1, 2, 3], [(1, 2)]) == {1: 2, 2: 2, 3: 3}
 
 
