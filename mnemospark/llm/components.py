@@ -1,43 +1,7 @@
-"""Connected components of a link table by alternating large and small stars.
-
-Every step is a grouped minimum (combined before the shuffle) and a join, so a node with very many links is one row
-per task in the aggregate.  Links, labels and components stay in Spark; each round is written to the shared folder.
-"""
+"""Connected components, as the package's operators find them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut, drop_cut
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id of the links (a, b): the smallest id that can be reached.
+from mnemospark.operators.components import components
 
-    Self-links are ignored; nulls are dropped; an id without links does not appear.
-    """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    last = None
-    while True:
-        stars = cut(_small_star(_large_star(edges)), "stars")
-        drop_cut(edges)
-        edges = stars
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]
