@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,25 +28,43 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5) + 1))
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df, total): in how many rows of (id, text) a term stands, and how often; one shuffle, counted in each task
+    before it.  In a row's sorted terms the first of equals stands for the row."""
+    ordered = docs.select(F.array_sort(tokens(F.col("text"))).alias("t"))
+    each = ordered.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.when(i > 0, F.get(F.col("t"), i - 1)))).cast("long").alias("first")))).alias("e"))
+    return each.groupBy("e.term").agg(F.sum("e.first").alias("df"), F.count("*").alias("total"))
 
 
 def scores(docs: DataFrame, query: DataFrame) -> DataFrame:
     """(id, bm25) over the whole corpus for the query's terms (term, times); repeated query terms count repeatedly.
 
-    The query's terms are few, so documents are filtered to them where they lie: only (id, term, tf) rows of query
-    terms move, never a posting of another term.
+    The terms of a query are few: they go into the plan, each text is reduced to them in its own row, one pass brings
+    the corpus' statistics (a number a term), a second one the scores.  Rows under one id add up.
     """
-    listed = docs.select("id", tokens(F.col("text")).alias("t"))
-    stats = listed.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    terms = query.groupBy("term").agg(F.sum("times").alias("times"))
-    hit = listed.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(terms), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("times").alias("times"))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    full = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    tf = F.col("tf")
-    norm = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
-    return full.groupBy("id").agg(F.sum(F.col("times") * idf(F.col("n"), F.col("df")) * norm).alias("bm25"))
+    terms = sorted((r["term"], r["times"]) for r in query.groupBy("term").agg(F.sum("times").alias("times")).collect())
+    names = [t for t, _ in terms]
+    if not terms:
+        return docs.select("id", F.lit(None).cast("double").alias("bm25")).where(F.lit(False))
+    # what a lambda binds is computed once a row
+    once = lambda x, fn: F.element_at(F.transform(F.array(x), fn), 1)
+    text = tokens(F.col("text"))
+    told = once(text, lambda t: F.array_prepend(F.transform(F.array(*map(F.lit, names)), lambda x: F.array_contains(t, x).cast("long")), F.size(t).cast("long")))
+    sums = docs.select(F.posexplode(told).alias("i", "x")).groupBy("i").agg(F.count("*").alias("n"), F.sum("x").alias("x")).collect()  # a row a term and one more
+    n, total = next(((r["n"], r["x"]) for r in sums if r["i"] == 0), (0, 0))
+    df = [next((r["x"] for r in sums if r["i"] == i + 1), 0) for i in range(len(names))]
+    weights = [(x, times * max(0.0, math.log((n - c + 0.5) / (c + 0.5) + 1))) for (x, times), c in zip(terms, df, strict=True)]
+
+    def scored(d: Column) -> Column:
+        def part(w: Column) -> Column:
+            tf = F.size(F.filter(d["q"], lambda x: x == w["term"]))
+            return w["weight"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * d["dl"] / max(total / max(n, 1), 1e-9)))
+
+        return F.when(F.size(d["q"]) > 0, F.aggregate(F.array(*(F.struct(F.lit(x).alias("term"), F.lit(w).alias("weight")) for x, w in weights)), F.lit(0.0), lambda s, w: s + part(w)))
+
+    hits = once(text, lambda t: F.struct(F.size(t).alias("dl"), F.filter(t, lambda x: x.isin(names)).alias("q")))
+    own = docs.select("id", once(hits, scored).alias("bm25")).where("bm25 is not null")
+    return own.groupBy("id").agg(F.sum("bm25").alias("bm25"))
 
 
 def query_terms(spark, text: str) -> DataFrame:

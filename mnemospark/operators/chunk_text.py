@@ -11,8 +11,7 @@ import regex
 MIN_BYTES, BLOCK_BYTES, TIME_BYTES, TITLE_CHARS, SENTENCE_WORDS = 30, 20, 8, 80, 4
 
 WHITE = " \t\n\x0b\f\r"
-_CUT = regex.compile(r"(?<=[.!?])(?=[ \n]*(?:[\p{Lu}\"'(]|\Z))")
-_WORDS = regex.compile(r"[^ \t\n\x0b\f\r]+")
+_CUT = regex.compile(r"[.!?](?=[ \n]*(?:[\p{Lu}\"'(]|\Z))")
 _TIME = regex.compile(r"[0-9:]*")
 _CAPITAL = regex.compile(r"\p{Lu}")
 
@@ -26,10 +25,8 @@ def lines(text: str) -> list[str]:
 def sentences(text: str) -> list[str]:
     out, begin, words, at = [], 0, 0, 0
     for m in _CUT.finditer(text):
-        end = m.start()
-        if end == at:
-            continue
-        words += sum(1 for _ in _WORDS.finditer(text, at, end))
+        end = m.end()
+        words += len(text[at:end].encode().split())  # bytes are split at the six white space characters alone
         if at > begin and text[at] not in WHITE:
             words -= 1  # the word goes on over the cut
         at = end

@@ -47,8 +47,6 @@ def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     overlap = min(overlap, size // 2)
     step = size - overlap
     reach = -(-(size + SNAP) // step)
-    pieces_ = F.regexp_extract_all(normalise(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-
     def windows(p: Column) -> Column:
         n = (F.size(p) - 1) * step + F.length(F.element_at(p, -1))
 
@@ -72,8 +70,9 @@ def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
         upto = F.transform(F.array(every), lambda w: F.slice(w, F.lit(1), F.array_position(F.transform(w, lambda x: x["last"]), F.lit(True)).cast("int")))
         return F.transform(F.filter(F.element_at(upto, 1), lambda x: F.octet_length(x["text"]) >= MIN_BYTES), lambda x: x["text"])
 
-    made = F.element_at(F.transform(F.array(pieces_), windows), 1)
-    return F.when(F.length(normalise(text)) > 0, made).otherwise(F.array().cast("array<string>"))
+    # what a lambda binds is computed once
+    cut_up = F.transform(F.array(normalise(text)), lambda t: F.when(t != "", F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))))
+    return F.element_at(F.transform(cut_up, lambda p: F.when(p.isNotNull(), windows(p)).otherwise(F.array().cast("array<string>"))), 1)
 
 
 def _titled(texts: Column) -> Column:

@@ -25,7 +25,7 @@ def bm25_stats(spark, d):
 
 
 def bm25_document_frequency(spark, d):
-    return bm25.postings(corpus(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return bm25.document_frequencies(corpus(spark, d))
 
 
 def bm25_rank(spark, d):
