@@ -37,7 +37,7 @@ from .common import cut, deal, drop_cut, heavy_keys, key_groups, map_batches, mi
 WINDOW, SEED = 35, 8
 #: Words of reference pieces that are indexed at once; different pieces of one seed that a block takes; runs whose words
 #: a task remembers to have told.
-BLOCK_WORDS, PIECES, TOLD = 400_000, 500, 200_000
+BLOCK_WORDS, PIECES, TOLD = 400_000, 6000, 200_000
 _P = 0x9E3779B97F4A7C15
 
 
