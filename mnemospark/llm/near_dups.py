@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, key_groups, map_batches, mix, row_key, salted, salted_join, slices, texts_of, word_hashes
+from .common import BROADCAST_LIMIT_BYTES, cut, drop_cut, key_groups, map_batches, mix, row_key, salted, salted_join, slices, texts_of, word_hashes
 from .components import components
 
 #: POSITIONS minwise values make a sketch; MEMBERS of a neighbourhood meet its pivot in one place.
@@ -127,20 +127,24 @@ def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
         sizes = cut(light.groupBy("node").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1"), "sizes")
         large = sizes.where(F.col("c") > leaf)
         pivots = large.select("pivot").distinct().join(plain.select(F.col("rep").alias("pivot"), F.col("sketch").alias("at")), "pivot")
-        nodes = cut(sizes.where(F.col("c") <= leaf).select("node", "c", F.lit(None).cast("long").alias("pivot"), F.lit(None).cast("binary").alias("at")).unionByName(large.join(pivots, "pivot").select("node", "c", "pivot", "at")), "pivots")
-        rows, keys = salted(light, nodes, ["node"], "rep")
-
-        def members(which: str, rows=rows, keys=keys) -> DataFrame:
-            return rows.join(keys.where(which), ["node", "salt"]).join(plain, "rep").select("node", "rep", "n", "sketch", "pivot", "at")
-
-        small = members("pivot is null").repartition("node").sortWithinPartitions("node")
+        big = cut(large.join(pivots, "pivot").select("node", "c", "pivot", "at"), "pivots")
+        few = sizes.where(F.col("c") <= leaf).select("node", "c")
+        many = big.count()
+        if many * 256 <= BROADCAST_LIMIT_BYTES:  # large nodes are one in ``leaf`` places at most, often few enough to meet their rows where these lie
+            met = light.join(F.broadcast(big.select("node", "pivot")), "node").join(plain, "rep").join(F.broadcast(big.select("node", "at")), "node")
+            small = light.join(F.broadcast(big.select("node")), "node", "left_anti").join(few.select("node"), "node").join(plain, "rep")
+        else:
+            rows, keys = salted(light, few.select("node", "c", F.lit(None).cast("long").alias("pivot"), F.lit(None).cast("binary").alias("at")).unionByName(big), ["node"], "rep")
+            met = rows.join(keys.where("pivot is not null"), ["node", "salt"]).join(plain, "rep")
+            small = rows.join(keys.where("pivot is null"), ["node", "salt"]).join(plain, "rep")
+        small = small.select("node", "rep", "n", "sketch").repartition("node").sortWithinPartitions("node")
         found = cut(map_batches(small.select("node", "rep", "n", "sketch"), compare, "a long, b long"), "near")
         out = found if out is None else out.unionByName(found)
-        if large.isEmpty():
+        if not many:
             return out
         # a node too large: its documents meet its pivot, those next to it leave, the others branch
         branches = (4, 2)[depth] if depth < 2 else 1
-        met = members("pivot is not null").select("node", "rep", "sketch", "pivot", "at")
+        met = met.select("node", "rep", "sketch", "pivot", "at")
 
         def branch(batches, branches=branches):
             for b in batches:

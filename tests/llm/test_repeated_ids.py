@@ -23,3 +23,15 @@ def test_substrings_of_rows_that_look_alike(spark):
     rows = [("5", None), (None, "5"), (None, p), (None, p), ("5", p), ("5", p + " tail"), (p, None), (None, prose(50, 9))]
     got = sorted((r.n_words, r.n_removed) for r in remove_duplicates(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect())
     assert got == sorted([(0, 0), (1, 0), *[(60, 60)] * 3, (61, 60), (0, 0), (50, 0)])
+
+
+def test_nodes_that_are_not_broadcast_give_the_same(spark, monkeypatch):
+    from mnemospark.llm import near_dups
+
+    from .test_operators import near_rows
+
+    docs = spark.createDataFrame(near_rows(), "doc_id long, text string").repartition(3)
+    told = lambda: sorted(map(tuple, near_dups.near_duplicates(docs, leaf=6).collect()))
+    first = told()
+    monkeypatch.setattr(near_dups, "BROADCAST_LIMIT_BYTES", -1)
+    assert told() == first
