@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT_BYTES, cut, drop_cut, key_groups, map_batches, mix, row_key, salted, salted_join, slices, texts_of, word_hashes
+from .common import BROADCAST_LIMIT_BYTES, broadcast_if_small, cut, drop_cut, key_groups, map_batches, mix, row_key, salted, salted_join, slices, texts_of, word_hashes
 from .components import components
 
 #: POSITIONS minwise values make a sketch; MEMBERS of a neighbourhood meet its pivot in one place.
@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     near = int(POSITIONS * (percent / 100 - slack))
     around = components(_gather(reps.select("rep", "n", "sketch", "nodes"), leaf, near, percent))
     own = reps.join(around.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep").select("rid", "rep", "comp")
-    texts = keyed.select("rid", "text").join(own, "rid").select("rep", "text", "comp")
+    own = cut(own, "own")
+    texts = keyed.select("rid", "text").join(broadcast_if_small(own, own.count(), 128), "rid").select("rep", "text", "comp")  # only these texts are needed
     final = components(_confirm(texts, around, size, percent, block_bytes))
     placed = reps.select("rep", "id", "rid", "c").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     least = placed.groupBy("comp").agg(F.min("id").alias("component_id"), F.min("rid").alias("first"))
