@@ -191,6 +191,16 @@ def pool_stats(records: DataFrame, capacity: int) -> DataFrame:
     return out.withColumn("status", F.when(F.col("slots_used") >= capacity, "full").when(F.col("fill_pct") >= 90, "degraded").otherwise("ok"))
 
 
+def gauges(state, capacity: dict[str, int]) -> DataFrame:
+    """(name, live, capacity, fill_ratio) of the folded state's tables that ``capacity`` names; a capacity of 0 is filled to 0."""
+    out = None
+    for name, most in capacity.items():
+        fill = F.col("live") / F.lit(float(most)) if most > 0 else F.lit(0.0)
+        one = getattr(state, name).agg(F.count("*").alias("live")).select(F.lit(name).alias("name"), "live", F.lit(most).cast("long").alias("capacity"), fill.alias("fill_ratio"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def shard_routing(namespaces: DataFrame, shards: int) -> DataFrame:
     """(shard, namespaces): namespace modulo the number of shards."""
     return namespaces.select("namespace_id").distinct().groupBy(F.pmod("namespace_id", F.lit(shards)).alias("shard")).agg(F.array_join(F.sort_array(F.collect_list("namespace_id")), ",").alias("namespaces"))

@@ -128,6 +128,13 @@ def signs_search(records: DataFrame, query: DataFrame, k: int, factor: int = 40,
     return close.select("id", "bits", fx.l2_squared(F.col("fx"), F.col("q")).alias("dist")).orderBy("dist", "id").limit(k)
 
 
+def signs_search_float(records: DataFrame, query: DataFrame, k: int, factor: int = 10, least: int = 200) -> DataFrame:
+    """As ``signs_search``, on the vectors as they were given (``vec``; the query's is ``v``): sign bits and distances of floats."""
+    bits = fx.hamming(fx.binarize(F.col("vec")), fx.binarize(F.col("v")))
+    close = records.crossJoin(F.broadcast(query.limit(1))).withColumn("bits", bits).orderBy("bits", "id").limit(max(factor * k, least))
+    return close.select("id", "bits", fx.l2_float(F.col("vec"), F.col("v")).alias("distance")).orderBy("distance", "id").limit(k)
+
+
 def tier(records: int) -> str:
     """The access path for a table of so many records: exact, by sign bits, or by cells."""
     return "brute" if records < BRUTE_BELOW else "signs" if records < SIGNS_BELOW else "cells"

@@ -103,6 +103,11 @@ def pool_stats(spark, d):
     return log.pool_stats(log.fold(event_log(spark, d)).records, 2200)
 
 
+def gauges(spark, d):
+    """Live rows, capacity and fill of the state's tables."""
+    return log.gauges(log.fold(event_log(spark, d)), {"records": 200_000, "nodes": 50_000, "edges": 0})
+
+
 def shard_routing(spark, d):
     return log.shard_routing(event_log(spark, d).select("namespace_id"), 3)
 
@@ -343,7 +348,7 @@ def recall_receipt(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    log_fold, log_nodes, log_meta, as_of_index, as_of_time, timeline_range, event_counts, request_dedup, state_diff, soft_vs_hard_delete, drop_namespace, insert_rejects, pool_stats, shard_routing, build_nodes_edges, node_edges, subgraph_bfs,
+    log_fold, log_nodes, log_meta, as_of_index, as_of_time, timeline_range, event_counts, request_dedup, state_diff, soft_vs_hard_delete, drop_namespace, insert_rejects, pool_stats, gauges, shard_routing, build_nodes_edges, node_edges, subgraph_bfs,
     subgraph_edges, walk, expand, cascade_delete, graphrag, contradict_pairs, consolidate, memory_upsert, node_rejects, shred_keys, insert_receipts, insert_receipts_broken, citation_rates, community_members, community_scope, resolve_entities, community_detect, community_components, community_centroid, community_search, community_overview, community_receipt,
     vector_merkle, state_hash, log_chain, log_chain_verify, receipt_chain_verify, recall_receipt,
 )}
@@ -394,6 +399,7 @@ SQL = {
     "drop_namespace": f"WITH {_LOG}, {_fold()} SELECT dp.ns AS namespace_id, count(id) AS later FROM dp LEFT JOIN rec ON rec.namespace_id = dp.ns GROUP BY dp.ns",
     "insert_rejects": f"WITH {_LOG} SELECT log_index, 'namespace' AS reason FROM l WHERE event_type = 'InsertRecord' AND log_index % 500 = 7",
     "pool_stats": f"WITH {_LOG}, {_fold()}, s AS (SELECT count(*) AS live, max(id) + 1 AS slots_used FROM rec) SELECT live, slots_used, CAST(2200 AS BIGINT) AS capacity, round(100.0 * slots_used / 2200, 2) AS fill_pct, CASE WHEN slots_used >= 2200 THEN 'full' WHEN round(100.0 * slots_used / 2200, 2) >= 90 THEN 'degraded' ELSE 'ok' END AS status FROM s",
+    "gauges": f"WITH {_LOG}, {_fold()} SELECT 'records' AS name, count(*) AS live, CAST(200000 AS BIGINT) AS capacity, count(*) / 200000.0 AS fill_ratio FROM rec UNION ALL SELECT 'nodes', count(*), 50000, count(*) / 50000.0 FROM nod UNION ALL SELECT 'edges', 0, 0, 0.0",
     "shard_routing": f"WITH {_LOG} SELECT ns % 3 AS shard, string_agg(CAST(ns AS VARCHAR), ',' ORDER BY ns) AS namespaces FROM (SELECT DISTINCT ns FROM l) GROUP BY 1",
     "build_nodes_edges": "SELECT k AS kind, nodes, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS edges FROM (SELECT 3 AS k, count(*) AS nodes FROM customer UNION ALL SELECT 5, count(*) FROM orders)",
     "node_edges": "SELECT CAST(o_custkey AS BIGINT) * 2 AS src, count(*) AS degree FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1",

@@ -126,6 +126,12 @@ def bq_two_stage(spark, d):
     return search.signs_search(r, query(r), 10)
 
 
+def bq_float(spark, d):
+    r = records(spark, d)
+    found = search.signs_search_float(r, r.where("id = 0").select(F.col("vec").alias("v")), 10)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 def _asked(r: DataFrame) -> DataFrame:
     """The query set of the registered searches: every record whose id is divisible by 50."""
     return r.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("fx").alias("q"))
@@ -265,7 +271,7 @@ def recall_at_k(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     knn_exact, knn_tag, knn_namespace, knn_batch, knn_self_join, quantize_trunc, quantize_round, quantize_cluster, dequantize, fx_arithmetic, l2_pairs, l2_float_pairs, dot_pairs, cosine_pairs, similarity_scores, scalar_quant, binarize, hamming,
-    bq_two_stage, cells_all_equals_exact, cells_probe, cells_recall, cells_recall_holds, cells_changed, graph_search, graph_recall, graph_recall_holds, product_codes, auto_search, decay_rerank, decay_zero_halflife, meta_filter_exact, meta_filter_range, meta_filter_missing_key, knn_with_meta_filter, knn_overfetch_filter, rank_diff, recall_at_k,
+    bq_two_stage, bq_float, cells_all_equals_exact, cells_probe, cells_recall, cells_recall_holds, cells_changed, graph_search, graph_recall, graph_recall_holds, product_codes, auto_search, decay_rerank, decay_zero_halflife, meta_filter_exact, meta_filter_range, meta_filter_missing_key, knn_with_meta_filter, knn_overfetch_filter, rank_diff, recall_at_k,
 )}
 
 _R = f"r AS (SELECT vec_id AS id, embedding AS vec, list_transform(embedding, lambda x: CAST(trunc(x * 65536) AS BIGINT)) AS fx, CAST(label AS BIGINT) AS tag, label % 4 AS namespace_id, {EPOCH} + vec_id * 3600 AS created_at FROM embeddings)"
@@ -315,6 +321,7 @@ SQL = {
     "scalar_quant": f"WITH {_R}, c AS (SELECT id, list_transform(vec, lambda x: CAST(trunc((CAST(CASE WHEN x > 1 THEN 1 WHEN x < -1 THEN -1 ELSE x END AS FLOAT) + CAST(1 AS FLOAT)) * CAST(127.5 AS FLOAT)) AS INT)) AS codes FROM r) SELECT id, CAST(list_sum(codes) AS BIGINT) AS code_sum, round(list_sum(list_transform(codes, lambda x: x / 127.5 - 1)), 6) + 0.0 AS back_sum FROM c",
     "hamming": f"WITH {_P} SELECT a, b, {_HAM} AS bits FROM p",
     "bq_two_stage": f"WITH {_R}, q AS (SELECT fx AS fb FROM r WHERE id = 0), c AS (SELECT id, fx, fb, {_HAM.replace('fa', 'fx')} AS bits FROM r, q ORDER BY bits, id LIMIT 400) SELECT id, bits, {_l2('fx', 'fb')} AS dist FROM c ORDER BY dist, id LIMIT 10",
+    "bq_float": f"WITH {_R}, q AS (SELECT vec AS v FROM r WHERE id = 0), c AS (SELECT id, vec, v, CAST(list_sum(list_transform(list_zip(vec, v), lambda z: CAST((z[1] > 0) <> (z[2] > 0) AS INT))) AS INT) AS bits FROM r, q ORDER BY bits, id LIMIT 200), s AS (SELECT id, bits, list_sum(list_transform(list_zip(vec, v), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS distance FROM c ORDER BY distance, id LIMIT 10) SELECT id, bits, round(distance, 6) AS distance FROM s",
     "cells_all_equals_exact": f"WITH {_R} " + _BATCH.format(l2=_l2("r.fx", "q.fx"), where='true', k=5),
     "cells_changed": f"WITH {_R} " + _BATCH.format(l2=_l2("r.fx", "q.fx"), where="r.id % 7 <> 1", k=5),
     "cells_recall_holds": "SELECT true AS holds, count(*) AS queries FROM embeddings WHERE vec_id % 50 = 0",
