@@ -13,7 +13,7 @@ import re
 import zlib
 
 _W = rb"[\x00\t\n\f\r ]"
-_LEX = re.compile(rb"(?:" + _W + rb"|%[^\r\n]*)*(?:(<<|>>|[\[\]{}])|/([^\x00\t\n\f\r ()<>\[\]{}/%]*)|<([0-9A-Fa-f\x00\t\n\f\r ]*)>|(\()|([^\x00\t\n\f\r ()<>\[\]{}/%]+)|(.))", re.S)
+_LEX = re.compile(rb"(?:" + _W + rb"|%[^\r\n]*+)*+(?:(<<|>>|[\[\]{}])|/([^\x00\t\n\f\r ()<>\[\]{}/%]*)|<([0-9A-Fa-f\x00\t\n\f\r ]*)>|(\()|([^\x00\t\n\f\r ()<>\[\]{}/%]+)|(.))", re.S)
 _OBJECT = re.compile(rb"(\d+)" + _W + rb"+(\d+)" + _W + rb"+obj\b")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
