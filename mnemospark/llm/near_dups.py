@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT_BYTES, cut, drop_cut, key_groups, map_batches, mix, row_key, salted, salted_join, slices, texts_of, word_hashes
+from .common import BROADCAST_LIMIT_BYTES, cut, key_groups, map_batches, mix, row_key, salted, salted_join, slices, texts_of, word_hashes
 from .components import components
 
 #: POSITIONS minwise values make a sketch; MEMBERS of a neighbourhood meet its pivot in one place.
@@ -107,7 +107,7 @@ def _children(node: np.ndarray, sketch: np.ndarray, branches: int) -> np.ndarray
 def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
     """Links (a, b) that connect each neighbourhood of representatives; each depth of the trees is a table of its own."""
     plain = reps.select("rep", "n", "sketch")
-    light = cut(reps.select("rep", F.explode("nodes").alias("node")), "places")
+    light = reps.select("rep", F.explode("nodes").alias("node"))
     out = None
     depth = 0
 
@@ -126,11 +126,15 @@ def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
     while True:
         sizes = cut(light.groupBy("node").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1"), "sizes")
         large = sizes.where(F.col("c") > leaf)
-        pivots = large.select("pivot").distinct().join(plain.select(F.col("rep").alias("pivot"), F.col("sketch").alias("at")), "pivot")
-        big = cut(large.join(pivots, "pivot").select("node", "c", "pivot", "at"), "pivots")
         few = sizes.where(F.col("c") <= leaf).select("node", "c")
-        many = big.count()
-        if many * 256 <= BROADCAST_LIMIT_BYTES:  # large nodes are one in ``leaf`` places at most, often few enough to meet their rows where these lie
+        many = large.count()
+        at = plain.select(F.col("rep").alias("pivot"), F.col("sketch").alias("at"))
+        narrow = many * 256 <= BROADCAST_LIMIT_BYTES  # large nodes are one in ``leaf`` places at most, often few enough to meet their rows where these lie
+        if many:
+            big = cut((at.join(F.broadcast(large), "pivot") if narrow else large.join(large.select("pivot").distinct().join(at, "pivot"), "pivot")).select("node", "c", "pivot", "at"), "pivots")
+        if not many:
+            small = light.join(few.select("node"), "node").join(plain, "rep")
+        elif narrow:
             met = light.join(F.broadcast(big.select("node", "pivot")), "node").join(plain, "rep").join(F.broadcast(big.select("node", "at")), "node")
             small = light.join(F.broadcast(big.select("node")), "node", "left_anti").join(few.select("node"), "node").join(plain, "rep")
         else:
@@ -158,8 +162,7 @@ def _gather(reps: DataFrame, leaf: int, near: int, percent: int) -> DataFrame:
 
         split = cut(map_batches(met, branch, "rep long, b long, nodes array<long>"), "nodes")
         out = out.unionByName(split.where("rep <> b").select(F.col("rep").alias("a"), "b"))
-        drop_cut(light)
-        light = cut(split.select("rep", F.explode("nodes").alias("node")).where("node <> 0").distinct(), "places")
+        light = split.select("rep", F.explode("nodes").alias("node")).where("node <> 0")  # a node has one parent, so no place is told twice
         depth += 1
 
 
@@ -173,7 +176,7 @@ def _confirm(texts: DataFrame, near: DataFrame, size: int, percent: int, block_b
 
     full = cut(map_batches(texts, sets, "rep long, comp long, items binary"), "sets")
     # a large neighbourhood meets its pivot in several places, each with its share of the members
-    counted = near.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / MEMBERS).cast("int"))
+    counted = cut(near.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / MEMBERS).cast("int")), "counted")
     pivots = full.where("rep = comp").groupBy("comp").agg(F.any_value("items").alias("at")).join(counted, "comp").select("comp", "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     dealt = salted_join(full, counted, ["comp"], "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
 
@@ -189,9 +192,9 @@ def _confirm(texts: DataFrame, near: DataFrame, size: int, percent: int, block_b
 
     met = cut(map_batches(dealt.join(pivots, ["comp", "salt"]).select("rep", "comp", "items", "at"), meet, "rep long, comp long, bytes long, linked boolean").distinct(), "met")
     stars = met.where("linked and rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))
-    totals = met.groupBy("comp").agg(
+    totals = cut(met.groupBy("comp").agg(
         F.ceil(F.sum("bytes") / block_bytes).alias("blocks"), F.ceil(F.sum(F.when(~F.col("linked"), F.col("bytes"))) / (block_bytes // 4)).alias("odd_blocks"), F.count("*").alias("c")
-    ).where("odd_blocks > 0 and c > 2")
+    ).where("odd_blocks > 0 and c > 2"), "totals")
     rows = salted_join(full.dropDuplicates(["rep"]).join(met.select("rep", "linked"), "rep"), totals, ["comp"], "rep")
     member = F.struct("rep", "linked", "items").alias("m")
     blocks = rows.groupBy("comp", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("k")).agg(F.collect_list(member).alias("members"))
